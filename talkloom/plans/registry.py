@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from ..operators import cells
+from ..sources.tables import table
+
+LABEL_TABLES = ("annotated_transcripts", "grammaticality_sheet", "label_classes")
+
+QUERIES: dict = {
+    "p3_found": lambda spark, d: cells.label_items_found(*[table(spark, d, n) for n in LABEL_TABLES]),
+    "p3_items": lambda spark, d: cells.label_items(*[table(spark, d, n) for n in LABEL_TABLES]),
+}
 ORACLE_SQL: dict[str, str] = {}
