@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import threads, turns
+from . import overlap, threads, turns
 
 
 def _tables(*names):
@@ -17,6 +17,8 @@ QUERIES = {
     "p1_found": _tables(*TRANSCRIPT_TABLES)(turns.turns_found),
     "p1_turns": _tables(*TRANSCRIPT_TABLES)(turns.speaker_turns),
     "p2_found": _tables(*TRANSCRIPT_TABLES, "speaker_roles")(threads.faults_found),
+    "p4_found": _tables("grammaticality_sheet")(overlap.overlap_found),
+    "p4_report": _tables("grammaticality_sheet")(overlap.overlap_report),
     "p2_conversations": _tables(*TRANSCRIPT_TABLES, "speaker_roles")(threads.conversations),
 }
 
