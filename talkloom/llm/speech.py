@@ -60,21 +60,32 @@ UNSAID_WORDS = (
 )
 
 
+def _where_any(c: Column, marks: str, then: Column) -> Column:
+    """`then` where c holds any of the marks, else c: a byte search spares most lines the regular expression."""
+    found = reduce(lambda x, y: x | y, [c.contains(m) for m in marks])
+    return F.when(found, then).otherwise(c)
+
+
 def tidy(c: Column) -> Column:
     """c without invisible characters, and with plain blanks."""
     return F.translate(c, BLANKS + INVISIBLE, " " * len(BLANKS))
 
 
 def transcript_key(path: Column) -> Column:
-    """One spelling of a transcript's path for joining; null for a null or blank path."""
-    p = F.lower(F.regexp_replace(tidy(path), r"[\s]+", ""))
-    p = F.regexp_replace(F.regexp_replace(p, r"[\\/]+", "/"), r"^(?:\.?/)+|\.cha$", "")
-    return F.when(p != "", p)
+    """One spelling of a transcript's path for joining; null for a null or blank path.
+
+    Blind to case, blanks, the direction and number of slashes, a leading "./" and a missing ".cha".
+    """
+    p = F.translate(F.lower(path), "\\ \n\r" + BLANKS + INVISIBLE, "/")
+    p = F.replace(F.replace(p, F.lit("//"), F.lit("/")), F.lit("//"), F.lit("/"))
+    p = F.replace(F.concat(F.ltrim(p, F.lit("./")), F.lit("|")), F.lit(".cha|"), F.lit("|"))
+    return F.nullif(F.rtrim(p, F.lit("|")), F.lit(""))
 
 
 def child_key(name: Column, corpus: Column) -> Column:
     """One spelling of a child's name for joining: letters and digits, led by its corpus; null for a blank name."""
-    bare = lambda c: F.regexp_replace(F.lower(tidy(c)), r"[^\p{L}\p{N}]+", "")
+    drop = "".join(c for c in NARROW if not c.isalnum()) + " \n\r" + BLANKS + INVISIBLE
+    bare = lambda c: F.translate(F.lower(c), drop, "")
     n, k = bare(name), F.coalesce(bare(corpus), F.lit(""))
     return F.when(n != "", F.when(n.startswith(k), n).otherwise(F.concat(k, n)))
 
@@ -100,26 +111,32 @@ def with_speech(df: DataFrame, raw: str = "transcript_raw", code: str = "speaker
     said       whether anything is said
     role       the speaker's code where speaker_code names a role, or, if it tells no speaker, the opening label does
     name_1, name_2  names to look up among the transcript's people where role is null (of the code, of the label)
+
+    Each step is a column of its own, so that none is worked out twice.
     """
-    line = F.regexp_replace(tidy(F.coalesce(F.col(raw), F.lit(""))), TIME_MARKS, " ")
-    df = df.withColumn("_line", line)
-    label = F.regexp_extract("_line", LABEL, 0)
-    text = F.regexp_replace(F.regexp_replace("_line", LABEL, " "), r"(?<=\p{L}):(?=\p{L})", "")
-    text = F.regexp_replace(F.regexp_replace(text, NOTES, " "), UNSAID_WORDS, " ")
-    text = F.regexp_replace(text, r'@[^\s.,!?]+|[<>()“”"‡]', "")
-    text = F.regexp_replace(text, r"(?<!\S)[^\p{L}\p{N}\s.!?]+(?!\S)|\s+(?=[.!?]+(?:\s|$))", "")
-    text = F.trim(F.regexp_replace(text, r"\s+", " "))
-    df = df.withColumns({"_code": bare_speaker(F.col(code)), "_label": bare_speaker(label), "said_text": text})
-    told = lambda c: F.when(~F.col(c).isin(NO_SPEAKER), F.col(c))
-    df = df.withColumns({"_code": told("_code"), "_label": told("_label")})
-    df = df.withColumns({"_role": role_of(F.col("_code")), "said": F.col("said_text").rlike(r"[\p{L}\p{N}]")})
-    by_label = F.col("_role").isNull()
-    df = df.withColumns({
-        "name_1": F.when(by_label, F.col("_code")),
-        "role_2": F.when(by_label, role_of(F.col("_label"))),
-        "name_2": F.when(by_label, F.col("_label")),
-    })
-    return df.withColumn("role", F.col("_role")).drop("_line", "_code", "_label", "_role")
+    steps = [
+        ("_t", F.coalesce(F.col(raw), F.lit(""))),
+        ("_t", _where_any(F.col("_t"), BLANKS + INVISIBLE, tidy(F.col("_t")))),
+        ("_t", _where_any(F.col("_t"), ":\x15•", F.regexp_replace("_t", TIME_MARKS, " "))),
+        ("_l", F.when(F.col("_t").contains(":") | F.col("_t").contains("["), F.regexp_extract("_t", LABEL, 0)).otherwise("")),
+        ("_t", F.when(F.col("_l") != "", F.expr("substr(_t, length(_l) + 1)")).otherwise(F.col("_t"))),
+        ("_t", _where_any(F.col("_t"), ":", F.regexp_replace("_t", r"(?<=\p{L}):(?=\p{L})", ""))),
+        ("_t", _where_any(F.col("_t"), "([{*", F.regexp_replace("_t", NOTES, " "))),
+        ("_t", F.regexp_replace("_t", UNSAID_WORDS, " ")),
+        ("_t", _where_any(F.col("_t"), '@<>()“”"', F.regexp_replace("_t", r'@[^\s.,!?]+|[<>()“”"]', ""))),
+        ("said_text", F.trim(F.regexp_replace("_t", r"(?<!\S)[^\p{L}\p{N}\s.!?]+(?!\S)|\s+(?=[.!?\s]|$)", ""))),
+        ("said", F.col("said_text").rlike(r"[\p{L}\p{N}]")),
+        ("_c", F.when(F.col(code).isin(list(ROLE_SPELLINGS)), F.col(code)).otherwise(bare_speaker(F.col(code)))),
+        ("_c", F.when(~F.col("_c").isin(NO_SPEAKER), F.col("_c"))),
+        ("role", F.when(F.col("_c").isin(list(ROLE_SPELLINGS)), F.col("_c")).otherwise(role_of(F.col("_c")))),
+        ("name_1", F.when(F.col("role").isNull(), F.col("_c"))),
+        ("_l", F.when(F.col("role").isNull() & (F.col("_l") != ""), bare_speaker(F.col("_l")))),
+        ("name_2", F.when(~F.col("_l").isin(NO_SPEAKER), F.col("_l"))),
+        ("role_2", F.when(F.col("name_2").isNotNull(), role_of(F.col("name_2")))),
+    ]
+    for name, c in steps:
+        df = df.withColumn(name, c)
+    return df.drop("_t", "_l", "_c")
 
 
 def only(df: DataFrame, wanted: Column, *without: str) -> DataFrame:
@@ -133,7 +150,7 @@ def only(df: DataFrame, wanted: Column, *without: str) -> DataFrame:
 
 def words_hash(text: Column) -> Column:
     """A 64-bit hash of the words of a cleaned line, blind to case, punctuation and spacing."""
-    return F.xxhash64(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}']+", " ")))
+    return F.xxhash64(F.trim(F.translate(F.lower(text), ".,!?…;\"“”„()<>‡", "")))
 
 
 def people(transcripts: DataFrame, participants: DataFrame, *more: str) -> DataFrame:
