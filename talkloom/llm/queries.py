@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import overlap, threads, turns
+from . import overlap, splits, threads, turns
 
 
 def _tables(*names):
@@ -19,6 +19,8 @@ QUERIES = {
     "p2_found": _tables(*TRANSCRIPT_TABLES, "speaker_roles")(threads.faults_found),
     "p4_found": _tables("grammaticality_sheet")(overlap.overlap_found),
     "p4_report": _tables("grammaticality_sheet")(overlap.overlap_report),
+    "p5_found": _tables("transcripts", "utterances", "children")(splits.transcript_groups),
+    "p5_splits": _tables("transcripts", "utterances", "children")(splits.split_transcripts),
     "p2_conversations": _tables(*TRANSCRIPT_TABLES, "speaker_roles")(threads.conversations),
 }
 
