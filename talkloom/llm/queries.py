@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import overlap, splits, threads, turns
+from . import overlap, splits, threads, tokenizer, turns
 
 
 def _tables(*names):
@@ -21,6 +21,7 @@ QUERIES = {
     "p4_report": _tables("grammaticality_sheet")(overlap.overlap_report),
     "p5_found": _tables("transcripts", "utterances", "children")(splits.transcript_groups),
     "p5_splits": _tables("transcripts", "utterances", "children")(splits.split_transcripts),
+    "p6_ids": _tables("documents")(tokenizer.encode_documents),
     "p2_conversations": _tables(*TRANSCRIPT_TABLES, "speaker_roles")(threads.conversations),
 }
 
