@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import abuse, overlap, splits, threads, tokenizer, turns
+from . import abuse, mixing, overlap, splits, threads, tokenizer, turns
 
 
 def _tables(*names):
@@ -22,6 +22,8 @@ QUERIES = {
     "p5_found": _tables("transcripts", "utterances", "children")(splits.transcript_groups),
     "p5_splits": _tables("transcripts", "utterances", "children")(splits.split_transcripts),
     "p6_ids": _tables("documents")(tokenizer.encode_documents),
+    "p7_mix": _tables("documents", "mix_targets")(mixing.mix),
+    "p7_shares": _tables("documents", "mix_targets")(mixing.mix_report),
     "p8_found": _tables("documents")(abuse.abusive_found),
     "p8_scores": _tables("documents")(abuse.score_documents),
     "p8_rates": _tables("documents")(abuse.abuse_rates),
