@@ -23,18 +23,18 @@ PLACEHOLDERS = {"", "-", "--", "---", "–", "—", "none", "n/a", "na", "n.a.",
 QUOTES = {'"': '"', "'": "'", "“": "”", "”": "”", "„": "“”", "‘": "’", "’": "’", "‚": "‘’", "«": "»", "»": "«", "‹": "›", "›": "‹", "`": "`´", "´": "´", "「": "」", "『": "』", "＂": "＂"}
 OPEN, CLOSE = "([{<（［｛【〔", ")]}>）］｝】〕"
 SEPARATORS = ",;|/\\+&\n\r\t·•‧∙●▪◦→⇒＞＜，、；｜／＋＆‖¦:"
-BLANK = "   -​  　﻿"
+BLANK = "".join(map(chr, [0x20, 0xA0, *range(0x2000, 0x200C), 0x202F, 0x205F, 0x3000, 0xFEFF]))
 
 _gap = re.compile(
     rf"(?:[\s{BLANK}]|[{re.escape(SEPARATORS)}{re.escape(OPEN + CLOSE)}]"
-    r"|[-–—―*~]+(?=[\s ]|$)|--+|=>|->"
-    r"|(?<![\w])\(?(?:\d{1,3}|[A-Za-z]|[ivx]{1,4})[.):](?![\w)]*\()(?=[\s ]*\S)"
-    r"|(?<![\w])(?i:and|or|plus|und|y|et)(?=[\s ]))"
+    r"|[-–—―*~]+(?=[\s\u00a0]|$)|--+|=>|->"
+    r"|(?<![\w])\(?(?:\d{1,3}|[A-Za-z]|[ivx]{1,4})[.):](?![\w)]*\()(?=[\s\u00a0]*\S)"
+    r"|(?<![\w])(?i:and|or|plus|und|y|et)(?=[\s\u00a0]))"
 )
 _boundary = re.compile(rf"[\s{BLANK}]*(?:$|[{re.escape(SEPARATORS + OPEN + CLOSE)}.])|[\s{BLANK}]+")
 _stop = re.compile(rf"[{re.escape(SEPARATORS + OPEN + CLOSE)}]|[\s{BLANK}]+(?:[-–—―]+|->|=>|(?i:and|or|plus|&))(?=[\s{BLANK}])|[\s{BLANK}]{{2,}}|[\s{BLANK}]+(?=[{"".join(QUOTES)}])|[\s{BLANK}]+(?=\(?(?:\d{{1,3}}|[a-z])[.):][\s{BLANK}])|$")
 _entity = re.compile(r"&(?:amp|nbsp|quot|apos|lt|gt|#0*39|#x0*27|#0*34);", re.I)
-_entities = {"amp": "&", "nbsp": " ", "quot": '"', "apos": "'", "lt": "<", "gt": ">"}
+_entities = {"amp": "&", "nbsp": "\u00a0", "quot": '"', "apos": "'", "lt": "<", "gt": ">"}
 
 
 class Item(NamedTuple):
@@ -56,7 +56,7 @@ class CellGrammar:
 
     def parse(self, cell: str | None) -> list[Item]:
         """The values of a cell in order; none for a null, blank or placeholder cell."""
-        if cell is None or cell.strip(" \t\r\n ").lower() in PLACEHOLDERS:
+        if cell is None or cell.strip(" \t\r\n\u00a0").lower() in PLACEHOLDERS:
             return []
         text = _entity.sub(lambda m: _entities.get(m[0][1:-1].lower(), "'" if "39" in m[0] or "27" in m[0] else '"'), cell) if "&" in cell else cell
         items, at, stray = [], 0, False
@@ -78,11 +78,13 @@ class CellGrammar:
                 at, stray = m.end(), False
                 continue
             end = self._bare_end(text, at)
-            label = text[at:end].strip("  \t.")
+            label = text[at:end].strip(" \u00a0\t.")
             if stray:
                 label = label.rstrip("".join(QUOTES))
             if label and label.lower() not in PLACEHOLDERS:
-                items.append(Item(label, at, "bare", stray))
+                parts = label.split()
+                again = len(parts) > 1 and len(set(parts)) == 1  # one word again and again is a list of it
+                items += [Item(p, at + label.find(p) + k * (len(p) + 1), "bare", stray) for k, p in enumerate(parts)] if again else [Item(label, at, "bare", stray)]
             at, stray = max(end, at + 1), False
 
     @staticmethod
@@ -110,7 +112,7 @@ class CellGrammar:
                     out.append(c)
                     i += 2
                 elif _boundary.match(text, i + 1):
-                    return "".join(out).strip("  \t\r\n"), i + 1
+                    return "".join(out).strip(" \u00a0\t\r\n"), i + 1
                 else:
                     out.append(c)
                     i += 1

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from .stemming import stem
 from .words import words
@@ -31,7 +31,7 @@ STOP_WORDS = (
 ACK_WORDS = ACK_CERTAIN + ACK_EVALUATIVE + ACK_ALONE
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stem_words(ws: pd.Series) -> pd.Series:
     """The stems of an array of words."""
     return ws.map(lambda w: None if w is None else [stem(x) for x in w])

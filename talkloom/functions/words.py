@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # Blanks as Python's \s knows them; Java's \s alone misses the no-break space and its like.
-BLANK = r"[\s   -​  　\x1c-\x1f]"
+BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x1c-\x1f]"
 
 
 def words(c: Column, on_apostrophe: bool = True, commas: bool = False, trailing: bool = False) -> Column:

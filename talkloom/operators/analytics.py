@@ -74,7 +74,7 @@ def proportions(df: DataFrame, by: list[str], flag: str, total: bool = False, dr
     p, n = F.try_divide(F.col("n_true").cast("double"), F.col("n")), F.col("n")
     mid, half = (p + z * z / (2 * n)) / (1 + z * z / n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     known = n > 0
-    return g.withColumns({"proportion": p, "low": F.when(known, mid - half), "high": F.when(known, mid + half)})
+    return g.withColumns({"proportion": p, "low": F.when(known, F.greatest(F.lit(0.0), mid - half)), "high": F.when(known, mid + half)})
 
 
 def contingency(df: DataFrame, by: str, condition: str, outcome: str) -> DataFrame:
