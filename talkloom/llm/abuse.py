@@ -44,7 +44,7 @@ FOREIGN_PHRASES = [
 NEIGHBOURS = set("morning mornings mourning custard mustard bustard bastion hardcover unlearning loading roaming".split())
 LOOKALIKES = str.maketrans("авеёзіјкмнопрстухѕԁɡһαεικνορτυχ", "abeezijkmhonpctyxsdghaeiknoptux")
 LEET = str.maketrans("013457@$!8", "oieastasib")
-INVISIBLE = re.compile("[​‌‍⁠﻿­͏]")
+INVISIBLE = re.compile("[" + "".join(map(chr, [0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD, 0x34F])) + "]")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_\-]){2,}[^\W\d_](?![^\W_])")
 TOKEN = re.compile(r"18\+|[\w@$](?:(?:[\w@$*'’\-]|!(?=\w))*[\w$*])?|[.!?\n|:;\"“”«»„]|[぀-ヿ一-鿿]+")
 STRETCHED = re.compile(r"(.)\1{2,}")

@@ -29,8 +29,8 @@ NO_SPEAKER = ["", "?", "UNK", "UNKNOWN", "XXX", "NA", "N/A", "NONE", "NULL"]
 LOOKALIKES = ("АВЕЅІЈКМНОРСТУХΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABESIJKMHOPCTYXABEZHIKMNOPTYX")
 WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 NARROW = "".join(map(chr, range(0x21, 0x7F)))
-INVISIBLE = "​‌‍⁠﻿­"
-BLANKS = "   　\t"
+INVISIBLE = "".join(map(chr, [0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD]))
+BLANKS = "".join(map(chr, [0xA0, 0x2007, 0x202F, 0x3000])) + "\t"
 
 # Time marks: \x15 or bullet marks, subtitle ranges, bracketed and bare clock times.
 TIME_MARKS = "|".join([
