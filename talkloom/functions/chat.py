@@ -6,9 +6,10 @@ Lines carry bracketed codes ([/], [*], [: fix], [=! laughs]), codes on words (wo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .words import remove_punctuation, words
+from .steps import steps, where_any, where_not_ascii
+from .words import BLANK, remove_punctuation
 
 # ---- Fixed values -------------------------------------------------------------------
 CAREGIVERS = ["MOT", "FAT", "DAD", "MOM", "GRA", "GRF", "GRM", "GMO", "GFA", "CAR"]
@@ -105,81 +106,93 @@ def word_is_parseable(w: Column) -> Column:
     return ~(b.startswith("&=") | b.isin(LAUGHTER) | F.lower(b).isin(NONSPEECH) | is_excluded_word(w) | word_is_babble(w) | b.endswith("@u") | b.endswith("@p"))
 
 
-def strip_annotations(c: Column) -> Column:
-    """A line without codes; [=! ...] events stay, and [= ...] where the line has a "[= actually says"."""
-    c = F.regexp_replace(c, CODES, "")
-    c = F.when(c.contains("[= actually says"), c).otherwise(F.regexp_replace(c, r"\[= [^\]]*\]", ""))
-    c = F.regexp_replace(F.translate(c, SIGNS, ""), r"\([.\d]*\)|\\x\d*|\x15", "")
-    kept = F.array_join(F.filter(words(c, False), lambda w: ~is_excluded_word(w)), " ")
-    return F.trim(F.translate(F.regexp_replace(kept, WORD_CODES, ""), "_+", "  "))
-
-
-def drop_unparseable(c: Column) -> Column:
-    """A stripped line without its event (a comma stands for one inside), laughter, babble and codes."""
-    event = first_event(c)
-    inside = ~c.startswith(event) | c.endswith(event)
-    told = F.when(event == "", c).when(inside, F.replace(F.replace(c, event, F.lit(",")), F.lit(" ,"), F.lit(","))).otherwise(F.replace(c, event, F.lit("")))
-    return F.when(told.isin(LAUGHTER_LINES), "").otherwise(F.trim(F.array_join(F.filter(words(told, False), word_is_parseable), " ")))
-
-
-def replace_slang(c: Column) -> Column:
-    """Thirteen spoken forms written out; a comma on a replaced word is lost."""
+# ---- The same rules on whole lines ---------------------------------------------------
+# Words are runs between blanks; commas at a word's ends do not count.
+_START, _STOP = r"(?<!\S),*(?:", r"),*(?!\S)"
+_EXCLUDED = r'\.*w\.*w\.*w\.*|\+/\S*|\+\.\.\.?|\S*@x\S*|0\S*|‡|\+"(?:/?\.?)|zzz'
+EXCLUDED_WORDS = _START + _EXCLUDED + _STOP
+UNPARSEABLE_WORDS = _START + rf"&\S*|\S*@[biup]|\S*xxx\S*|yyy|{'|'.join(LAUGHTER)}|(?i:{'|'.join(BABBLE + NONSPEECH)})|{_EXCLUDED}" + _STOP
+_LIKE_SPEECH = rf"(?!\S*(?:{SPOKEN_EVENT}))(?!(?=\S*sing)(?!\S*fussing)(?!\S*kissing))"
+NONSPEECH_WORDS = r"(?<!\S)(?:" + rf"&={_LIKE_SPEECH}\S*|{'|'.join(LAUGHTER)}|(?i:{'|'.join(NONSPEECH)})|{_EXCLUDED}" + r")(?!\S)"
+BABBLE_WORDS = _START + rf"&=(?!\S*(?:{UNDERSTOOD_EVENT}))\S*|&(?!=)\S*|(?!&=)(?:\S*@[biup]|\S*xxx\S*|yyy|(?i:{'|'.join(BABBLE)}))|{_EXCLUDED}" + _STOP
+SLANG_WORDS = _START + "|".join(SLANG) + _STOP
+_BLANKS = BLANK + "+"
+
+
+def _squeezed(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, _BLANKS, " "))
+
+
+def strip_steps(raw: Column, out: str) -> list[tuple[str, Column]]:
+    """A line without codes as column `out`; [=! ...] events stay, and [= ...] where the line has a "[= actually says"."""
+    t = F.col("__t")
+    return [
+        ("__t", raw),
+        ("__t", where_any(t, ["["], F.regexp_replace(t, CODES, ""))),
+        ("__t", F.when(t.contains("[= ") & ~t.contains("[= actually says"), F.regexp_replace(t, r"\[= [^\]]*\]", "")).otherwise(t)),
+        ("__t", where_not_ascii(t, F.translate(t, SIGNS, ""))),
+        ("__t", where_any(t, ["(", "\\x", "\x15"], F.regexp_replace(t, r"\([.\d]*\)|\\x\d*|\x15", ""))),
+        ("__t", F.regexp_replace(t, EXCLUDED_WORDS, "")),
+        ("__t", where_any(t, "@&()<>:^‹›⌊⌋⌈⌉°", F.regexp_replace(t, WORD_CODES, ""))),
+        ("__t", F.trim(F.regexp_replace(t, _BLANKS, " "))),
+        (out, F.trim(F.translate(t, "_+", "  "))),
+    ]
+
+
+def clean_steps(stripped: str, out: str) -> list[tuple[str, Column]]:
+    """A stripped line as clean text that ends in one mark: the leftmost of its final run, '.' where there is none."""
+    t, event = F.col("__t"), F.col("__e")
+    inside = ~t.startswith(event) | t.endswith(event)
     table = F.create_map(*[F.lit(x) for kv in SLANG.items() for x in kv])
-    return F.trim(F.array_join(F.transform(words(c, False), lambda w: F.coalesce(table[_bare(w)], w)), " "))
-
-
-def clean_line(c: Column) -> Column:
-    """A raw line as clean text that ends in one mark: the leftmost of its final run, '.' where there is none."""
-    stripped = strip_annotations(c)
-    mark = F.regexp_extract(stripped, r"([.!?])[.!?]*$", 1)
-    text = replace_slang(drop_unparseable(F.regexp_replace(stripped, r"[.!?]+$", "")))
-    text = F.replace(F.replace(F.replace(text, F.lit("_"), F.lit(" ")), F.lit(" ,"), F.lit(",")), F.lit(",,"), F.lit(","))
-    text = F.replace(F.regexp_replace(text, r"\s\.$", "."), F.lit(",."), F.lit("."))
-    text = F.trim(F.regexp_replace(text, r"\.\.\.(?:\s\.\.\.)*", "..."))
-    text = F.replace(F.replace(text, F.lit("   "), F.lit(" ")), F.lit("  "), F.lit(" "))
-    text = F.regexp_replace(text, r"^(?:,\s*)+|(?:\s*,)+$", "")
-    return F.concat(text, F.when(mark == "", ".").otherwise(mark))
-
-
-def drop_nonspeech(c: Column) -> Column:
-    """Without laughter, exclamations, codes and events; an event like speech is put at the end."""
-    event = first_event(c)
-    text = F.trim(F.when(event != "", F.replace(F.trim(c), event, F.lit(""))).otherwise(c))
-    kept = F.filter(words(text, False, True), lambda w: word_is_speech_related(w) & ~is_excluded_word(w))
-    spoken = F.when((event != "") & event_is_speech_related(event), F.array(event)).otherwise(F.array().cast("array<string>"))
-    return F.when(text.isin(LAUGHTER_LINES), "").otherwise(F.array_join(F.concat(kept, spoken), " "))
-
-
-def drop_babble(c: Column, vocabulary: list[str] | None = None) -> Column:
-    """Without babble and codes; an event that can be understood is put at the end.
-
-    With a vocabulary a single word beside another event counts as babble unless the
-    vocabulary holds it, and @u and @p words count as words if it holds them bare.
+    return [
+        ("__m", F.regexp_extract(stripped, r"([.!?])[.!?]*$", 1)),
+        ("__t", F.when(F.col("__m") != "", F.regexp_replace(stripped, r"[.!?]+$", "")).otherwise(F.col(stripped))),
+        ("__e", F.when(t.contains("[=! "), first_event(t)).otherwise("")),
+        ("__t", F.when(event == "", t).when(inside, F.replace(F.replace(t, event, F.lit(",")), F.lit(" ,"), F.lit(","))).otherwise(F.replace(t, event, F.lit("")))),
+        ("__t", F.when(t.isin(LAUGHTER_LINES), "").otherwise(_squeezed(F.regexp_replace(t, UNPARSEABLE_WORDS, "")))),
+        ("__t", F.when(t.rlike(SLANG_WORDS), F.array_join(F.transform(F.split(t, " "), lambda w: F.coalesce(table[_bare(w)], w)), " ")).otherwise(t)),
+        ("__t", where_any(t, [","], F.replace(F.replace(t, F.lit(" ,"), F.lit(",")), F.lit(",,"), F.lit(",")))),
+        ("__t", where_any(t, ["."], F.regexp_replace(F.replace(F.regexp_replace(t, r"\s\.$", "."), F.lit(",."), F.lit(".")), r"\.\.\.(?:\s\.\.\.)*", "..."))),
+        ("__t", where_any(t, [","], F.regexp_replace(t, r"^(?:\s*,)+\s*|(?:\s*,)+\s*$", ""))),
+        (out, F.concat(F.trim(t), F.when(F.col("__m") == "", ".").otherwise(F.col("__m")))),
+    ]
+
+
+def with_clean_line(df: DataFrame, raw: str = "transcript_raw", out: str = "transcript_clean") -> DataFrame:
+    """Adds the clean text of raw lines; null for null."""
+    return steps(df, strip_steps(F.col(raw), "__stripped") + clean_steps("__stripped", out))
+
+
+def label_steps(stripped: str, partial_speech: bool | None = True, unintelligible: bool | None = None, partial_intelligible: bool | None = False, empty: bool | None = False, vocabulary: list[str] | None = None) -> list[tuple[str, Column]]:
+    """is_speech_related and is_intelligible of a stripped line.
+
+    Speech: false if nothing is left without laughter, exclamations, codes and events that
+    are unlike speech; `unintelligible` if only xxx is; `partial_speech` if something was
+    taken out. Intelligible: `empty` if there is no speech, false if only babble,
+    `partial_intelligible` if some of it. With a vocabulary a single word beside an event
+    that cannot be understood is babble unless the vocabulary holds it.
     """
-    event = first_event(c)
-    text = F.trim(F.replace(c, event, F.lit("")))
-    text = F.when(event != "", text).otherwise(F.trim(c))
+    speech, left, event = F.col("__speech"), F.col("__left"), F.col("__e")
+    boolean = lambda v: F.lit(v).cast("boolean")
+    spoken = (event != "") & event_is_speech_related(event)
     understood = (event != "") & event_is_intelligible(event)
-    known = (lambda w: F.lower(F.regexp_replace(_bare(w), "@[up]$", "")).isin(vocabulary)) if vocabulary else (lambda w: None)
-    kept = F.filter(words(text, False), lambda w: ~word_is_babble(w, known(w)) & ~is_excluded_word(w))
-    out = F.array_join(F.concat(kept, F.when(understood, F.array(event)).otherwise(F.array().cast("array<string>"))), " ")
-    if not vocabulary:
-        return out
-    ws = words(text, False, True)
-    lone = (event != "") & ~understood & (F.size(ws) == 1) & ~F.lower(F.get(ws, 0)).isin(vocabulary)
-    return F.when(lone, "").otherwise(out)
-
-
-def is_speech_related(c: Column, partial: bool | None = True, unintelligible: bool | None = None) -> Column:
-    """Whether a stripped line is speech: false if nothing is left of it, `unintelligible` if only xxx is, `partial` if something was taken out."""
-    plain = remove_punctuation(c)
-    left = F.trim(drop_nonspeech(plain))
-    unheard = ~F.exists(words(left, True, True), lambda w: ~w.contains("xxx"))
-    return F.when(left == "", False).when(unheard, F.lit(unintelligible).cast("boolean")).when(F.length(left) != F.length(plain), F.lit(partial).cast("boolean")).when(left.isNotNull(), True)
-
-
-def is_intelligible(c: Column, partial: bool | None = False, empty: bool | None = False, vocabulary: list[str] | None = None) -> Column:
-    """Whether a stripped line can be understood: `empty` if it holds no speech, false if only babble, `partial` if some babble."""
-    speech = F.trim(drop_nonspeech(remove_punctuation(c)))
-    left = F.trim(drop_babble(speech, vocabulary))
-    return F.when(speech == "", F.lit(empty).cast("boolean")).when(left == "", False).when(F.length(left) != F.length(speech), F.lit(partial).cast("boolean")).when(left.isNotNull(), True)
+    lone = (event != "") & ~understood & ~speech.contains(" ") & ~F.lower(speech).isin(vocabulary or []) if vocabulary else F.lit(False)
+    return [
+        ("__plain", remove_punctuation(F.col(stripped))),
+        ("__e", F.when(F.col("__plain").contains("[=! "), first_event(F.col("__plain"))).otherwise("")),
+        ("__speech", F.trim(F.when(event != "", F.replace(F.col("__plain"), event, F.lit(""))).otherwise(F.col("__plain")))),
+        ("__speech", F.when(speech.isin(LAUGHTER_LINES), "").otherwise(_squeezed(F.regexp_replace(F.replace(speech, F.lit(","), F.lit(" ")), NONSPEECH_WORDS, "")))),
+        ("__all", F.when(spoken, F.concat_ws(" ", F.nullif(speech, F.lit("")), event)).otherwise(speech)),
+        ("is_speech_related", F.when(F.col("__all") == "", False)
+            .when(F.col("__all").contains("xxx") & ~F.col("__all").rlike(r"(?<![^\s',])(?!\S*xxx)[^\s',]+"), boolean(unintelligible))
+            .when(F.length("__all") != F.length("__plain"), boolean(partial_speech)).when(F.col("__all").isNotNull(), True)),
+        ("__e", F.when(spoken, event).otherwise("")),
+        ("__left", F.when(lone, "").otherwise(_squeezed(F.regexp_replace(speech, BABBLE_WORDS, "")))),
+        ("__left", F.when(understood & spoken, F.concat_ws(" ", F.nullif(left, F.lit("")), event)).otherwise(left)),
+        ("is_intelligible", F.when(F.col("__all") == "", boolean(empty)).when(left == "", False).when(F.length(left) != F.length("__all"), boolean(partial_intelligible)).when(left.isNotNull(), True)),
+    ]
+
+
+def with_labels(df: DataFrame, raw: str = "transcript_raw", **how) -> DataFrame:
+    """Adds is_speech_related and is_intelligible of raw lines (see label_steps); null for null."""
+    return steps(df, strip_steps(F.col(raw), "__stripped") + label_steps("__stripped", **how))

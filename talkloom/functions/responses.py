@@ -1,11 +1,12 @@
-"""Rules for responses: repetition, acknowledgement, clarification requests (Column expressions)."""
+"""Rules for responses: repetition, acknowledgement, clarification requests."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .stemming import stem
+from .steps import steps
 from .words import words
 
 # ---- Fixed values -------------------------------------------------------------------
@@ -37,34 +38,37 @@ def stem_words(ws: pd.Series) -> pd.Series:
     return ws.map(lambda w: None if w is None else [stem(x) for x in w])
 
 
-def repetition_ratios(utterance: Column, response: Column, stemmed: bool = False) -> Column:
-    """struct(of_utterance, of_response): the share of different words of each side that the other repeats.
+def with_repetition_ratios(df: DataFrame, utterance: str, response: str, of_utterance: str = "rep_utt", of_response: str = "rep_response", stemmed: bool = False) -> DataFrame:
+    """Adds the shares of different words of either side that the other repeats.
 
     Stop words do not count unless a side has nothing else; with stemming they are looked
     up after it. Null or empty responses give 0, 0. The last character of a text is
     dropped, so texts must end in a punctuation mark.
     """
-    def side(c: Column) -> Column:
+    def side(c: str) -> Column:
         ws = F.array_distinct(words(F.lower(c), True, True, True))
         return F.array_distinct(stem_words(ws)) if stemmed else ws
 
-    u, r = side(utterance), side(response)
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
-    u_plain, r_plain = F.array_except(u, stop), F.array_except(r, stop)
-    thin = (F.size(u_plain) == 0) | (F.size(r_plain) == 0)
-    both = F.size(F.when(thin, F.array_intersect(u, r)).otherwise(F.array_intersect(u_plain, r_plain)))
-    ratio = lambda x, plain: F.coalesce(F.try_divide(both.cast("double"), F.size(F.when(thin, x).otherwise(plain))), F.lit(0.0))
-    none = response.isNull() | (response == "")
-    zero = F.struct(F.lit(0.0).alias("of_utterance"), F.lit(0.0).alias("of_response"))
-    return F.when(none, zero).otherwise(F.struct(ratio(u, u_plain).alias("of_utterance"), ratio(r, r_plain).alias("of_response")))
-
-
-def is_keyword_acknowledgement(utterance: Column, response: Column) -> Column:
-    """Whether a response to no question is an acknowledgement by its words alone."""
-    ws = words(F.lower(response), False, True, True)
-    rest = F.filter(ws, lambda w: ~w.isin(ACK_WORDS))
+    plain = lambda c: F.filter(c, lambda w: ~w.isin(STOP_WORDS))
+    thin = (F.size("__up") == 0) | (F.size("__rp") == 0)
+    share = lambda c: F.when(F.col(response).isNull() | (F.col(response) == ""), 0.0).otherwise(F.coalesce(F.try_divide(F.col("__both").cast("double"), F.size(c)), F.lit(0.0)))
+    return steps(df, [
+        ("__u", side(utterance)), ("__r", side(response)),
+        ("__up", plain("__u")), ("__rp", plain("__r")), ("__thin", thin),
+        ("__u", F.when(F.col("__thin"), F.col("__u")).otherwise(F.col("__up"))), ("__r", F.when(F.col("__thin"), F.col("__r")).otherwise(F.col("__rp"))),
+        ("__both", F.size(F.array_intersect("__u", "__r"))),
+        (of_utterance, share("__u")), (of_response, share("__r")),
+    ])
+
+
+def with_keyword_acknowledgement(df: DataFrame, utterance: str, response: str, out: str = "response_is_keyword_acknowledgement") -> DataFrame:
+    """Adds whether a response to no question is an acknowledgement by its words alone."""
+    ws, rest = F.col("__ws"), F.col("__rest")
     told = (F.size(rest) == 0) | F.get(ws, 0).isin(ACK_CERTAIN) | F.array_join(ws, " ").isin(ACK_PHRASES) | F.array_join(rest, " ").isin(ACK_PHRASES)
-    return F.coalesce(~utterance.endswith("?") & ~response.endswith("?") & (F.size(ws) > 0) & told, F.lit(False))
+    return steps(df, [
+        ("__ws", words(F.lower(response), False, True, True)), ("__rest", F.filter("__ws", lambda w: ~w.isin(ACK_WORDS))),
+        (out, F.coalesce(~F.col(utterance).endswith("?") & ~F.col(response).endswith("?") & (F.size(ws) > 0) & told, F.lit(False))),
+    ])
 
 
 def is_speech_act_request(act: Column, utterance: Column) -> Column:
@@ -80,13 +84,15 @@ def linear_decision(first: Column, second: Column, weights: tuple[float, float,
     return first * a + second * b + c > 0
 
 
-def is_repetition_acknowledgement(utterance: Column, response: Column, ratios: Column, weights: tuple[float, float, float]) -> Column:
-    told = linear_decision(ratios["of_utterance"], ratios["of_response"], weights)
+def is_repetition_acknowledgement(utterance: Column, response: Column, of_utterance: Column, of_response: Column, weights: tuple[float, float, float]) -> Column:
+    """Whether a response to no question, that is none itself, repeats enough."""
+    told = linear_decision(of_utterance, of_response, weights)
     return F.coalesce(~utterance.endswith("?") & ~response.endswith("?") & told, F.lit(False))
 
 
-def is_repetition_request(response: Column, stemmed_ratios: Column, weights: tuple[float, float, float]) -> Column:
-    told = linear_decision(stemmed_ratios["of_utterance"], stemmed_ratios["of_response"], weights)
+def is_repetition_request(response: Column, of_utterance: Column, of_response: Column, weights: tuple[float, float, float]) -> Column:
+    """Whether a question repeats enough (ratios of stems)."""
+    told = linear_decision(of_utterance, of_response, weights)
     return F.coalesce(response.endswith("?") & told, F.lit(False))
 
 

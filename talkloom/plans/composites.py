@@ -32,14 +32,14 @@ def preprocess(df: DataFrame, names: list[tuple[str, str]] | None = None, requir
 
     df = df.withColumn("_said", resolve("transcript_raw"))
     noted = F.filter(F.array(F.nullif("error", F.lit("")), F.nullif(F.array_join("_said.tags", ";"), F.lit(""))), lambda x: x.isNotNull())
-    df = df.withColumns({"transcript_clean": chat.clean_line(F.col("_said.text")), "error": F.nullif(F.array_join(noted, ";"), F.lit(""))}).drop("_said")
+    df = df.withColumns({"_text": F.col("_said.text"), "error": F.nullif(F.array_join(noted, ";"), F.lit(""))}).drop("_said")
+    df = chat.with_clean_line(df, "_text").drop("_text")
     return df if "row_id" in df.columns else W.with_dense_id(df)
 
 
 def annotate(df: DataFrame, partial_speech: bool | None = True, partial_intelligible: bool | None = False, vocabulary: list[str] | None = None) -> DataFrame:
     """Adds is_speech_related and is_intelligible; rows without transcript_raw are dropped."""
-    d = df.where(F.col("transcript_raw").isNotNull()).withColumn("_s", chat.strip_annotations(F.col("transcript_raw")))
-    return d.withColumns({"is_speech_related": chat.is_speech_related(F.col("_s"), partial_speech), "is_intelligible": chat.is_intelligible(F.col("_s"), partial_intelligible, vocabulary=vocabulary)}).drop("_s")
+    return chat.with_labels(df.where(F.col("transcript_raw").isNotNull()), partial_speech=partial_speech, partial_intelligible=partial_intelligible, vocabulary=vocabulary)
 
 
 def annotate_errors(df: DataFrame) -> DataFrame:
@@ -50,18 +50,18 @@ def annotate_errors(df: DataFrame) -> DataFrame:
 def annotate_responses(triples: DataFrame, ack_weights=ACK_WEIGHTS, cr_weights=CR_WEIGHTS) -> DataFrame:
     """Adds repetition ratios and the six response flags to triples with clean texts and response_speech_act."""
     u, r = F.col("utt_transcript_clean"), F.col("response_transcript_clean")
-    d = triples.withColumns({"_plain": R.repetition_ratios(u, r), "_stem": R.repetition_ratios(u, r, stemmed=True)})
+    d = R.with_repetition_ratios(triples, "utt_transcript_clean", "response_transcript_clean")
+    d = R.with_repetition_ratios(d, "utt_transcript_clean", "response_transcript_clean", "rep_utt_stemmed", "rep_response_stemmed", stemmed=True)
+    d = R.with_keyword_acknowledgement(d, "utt_transcript_clean", "response_transcript_clean")
     d = d.withColumns({
-        "rep_utt": F.col("_plain.of_utterance"), "rep_response": F.col("_plain.of_response"), "rep_utt_stemmed": F.col("_stem.of_utterance"), "rep_response_stemmed": F.col("_stem.of_response"),
         "response_is_clarification_request_speech_act": R.is_speech_act_request(F.col("response_speech_act"), u),
-        "response_is_repetition_clarification_request": R.is_repetition_request(r, F.col("_stem"), cr_weights),
-        "response_is_keyword_acknowledgement": R.is_keyword_acknowledgement(u, r),
-        "response_is_repetition_acknowledgement": R.is_repetition_acknowledgement(u, r, F.col("_plain"), ack_weights),
+        "response_is_repetition_clarification_request": R.is_repetition_request(r, F.col("rep_utt_stemmed"), F.col("rep_response_stemmed"), cr_weights),
+        "response_is_repetition_acknowledgement": R.is_repetition_acknowledgement(u, r, F.col("rep_utt"), F.col("rep_response"), ack_weights),
     })
     return d.withColumns({
         "response_is_clarification_request": F.col("response_is_clarification_request_speech_act") | F.col("response_is_repetition_clarification_request"),
         "response_is_acknowledgement": F.col("response_is_keyword_acknowledgement") | F.col("response_is_repetition_acknowledgement"),
-    }).drop("_plain", "_stem")
+    })
 
 
 def grammaticality_conversations(triples: DataFrame, min_age: int = 10, max_age: int = 60, months: int = 6, min_words: int = 1, corpora: list[str] = (), excluded_children: list[str] = (), null_follow_up_as_true: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import chat, responses as R, words as T
 from ..operators import analytics as A, cells, sampling as S, sequence as W, stats
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import composites as Q
 
 LABEL_TABLES = ("annotated_transcripts", "grammaticality_sheet", "label_classes")
@@ -256,8 +256,8 @@ c AS (SELECT row_id, r, CASE WHEN len(up) = 0 OR len(rp) = 0 THEN u ELSE up END
 SELECT row_id, CASE WHEN r IS NULL OR r = '' OR len(a) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b)) * 1.0 / len(a), 9) END AS rep_utt, CASE WHEN r IS NULL OR r = '' OR len(b) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b)) * 1.0 / len(b), 9) END AS rep_response FROM c""")
 def repetition_ratios(spark, d):
     s = table(spark, d, "grammaticality_sheet").where("prev_transcript_clean is not null")
-    r = s.withColumn("x", R.repetition_ratios(F.col("prev_transcript_clean"), F.col("transcript_clean")))
-    return r.select("row_id", F.round("x.of_utterance", 9).alias("rep_utt"), F.round("x.of_response", 9).alias("rep_response"))
+    r = R.with_repetition_ratios(s, "prev_transcript_clean", "transcript_clean")
+    return r.select("row_id", F.round("rep_utt", 9).alias("rep_utt"), F.round("rep_response", 9).alias("rep_response"))
 
 
 def _list(ws: list[str]) -> str:
@@ -269,7 +269,7 @@ q AS (SELECT *, list_filter(ws, lambda x: NOT list_contains({_list(R.ACK_WORDS)}
 SELECT row_id, coalesce(NOT ends_with(u, '?') AND NOT ends_with(r, '?') AND len(ws) > 0 AND (len(rest) = 0 OR list_contains({_list(R.ACK_CERTAIN)}, ws[1]) OR list_contains({_list(R.ACK_PHRASES)}, array_to_string(ws, ' ')) OR list_contains({_list(R.ACK_PHRASES)}, array_to_string(rest, ' '))), false) AS is_ack FROM q""")
 def keyword_acknowledgements(spark, d):
     s = table(spark, d, "grammaticality_sheet")
-    return s.select("row_id", R.is_keyword_acknowledgement(F.col("prev_transcript_clean"), F.col("transcript_clean")).alias("is_ack"))
+    return R.with_keyword_acknowledgement(s, "prev_transcript_clean", "transcript_clean", "is_ack").select("row_id", "is_ack")
 
 
 @query(f"""WITH {TURNS}, n AS (SELECT row_id, transcript_clean AS u, lead(speech_act) OVER (PARTITION BY transcript_file ORDER BY row_id) AS act FROM turns),
@@ -385,7 +385,7 @@ def special_tokens(spark, d):
 
 def _loaded(spark, d):
     u = table(spark, d, "utterances").where("transcript_file is not null and transcript_raw is not null").withColumn("transcript_raw", chat.without_timing(F.col("transcript_raw")))
-    return u.withColumn("transcript_clean", chat.clean_line(F.col("transcript_raw")))
+    return chat.with_clean_line(spread(u))
 
 
 @query()

@@ -8,8 +8,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.chat import CAREGIVERS, has_multiple_events, is_external_event, strip_annotations, clean_line
+from ..functions.chat import CAREGIVERS, clean_steps, has_multiple_events, is_external_event, strip_steps
 from ..functions.errors import OTHER_SCHEME
+from ..functions.steps import steps
 from ..functions.words import is_empty
 
 GRA = T.StructType([T.StructField("dep", T.IntegerType()), T.StructField("head", T.IntegerType()), T.StructField("rel", T.StringType())])
@@ -117,11 +118,12 @@ def read_error_blocks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     codes = F.regexp_extract_all(tier, F.lit(r"\$ERR = ([^;\n]*)"), 1)
     scheme = F.create_map(*[F.lit(x) for kv in OTHER_SCHEME.items() for x in kv])
     none = F.array_contains(codes, "0")
-    return b.where(tier.contains("$ERR")).select(
-        strip_annotations(F.regexp_extract("value", r"(?m)^\*CHI:(.*)$", 1)).alias("transcript_raw"),
-        strip_annotations(F.regexp_extract("value", r"(?m)^\*(?:CAR|MOT|INV|DAD|FAT|GRM|GRF):(.*)$", 1)).alias("response_transcript_raw"),
-        none.alias("is_grammatical"), F.when(~none, F.array_join(F.transform(codes, lambda c: scheme[F.trim(c)]), ", ")).alias("labels"), "transcript_file",
-    ).withColumns({"transcript_clean": clean_line(F.col("transcript_raw")), "response_transcript_clean": clean_line(F.col("response_transcript_raw")), "prev_transcript_clean": F.lit(".")})
+    d = b.where(tier.contains("$ERR")).select(
+        F.regexp_extract("value", r"(?m)^\*CHI:(.*)$", 1).alias("_child"), F.regexp_extract("value", r"(?m)^\*(?:CAR|MOT|INV|DAD|FAT|GRM|GRF):(.*)$", 1).alias("_care"),
+        none.alias("is_grammatical"), F.when(~none, F.array_join(F.transform(codes, lambda c: scheme[F.trim(c)]), ", ")).alias("labels"), "transcript_file")
+    for side, pre in (("_child", ""), ("_care", "response_")):
+        d = steps(d, strip_steps(F.col(side), f"{pre}transcript_raw") + clean_steps(f"{pre}transcript_raw", f"{pre}transcript_clean"))
+    return d.drop("_child", "_care").withColumn("prev_transcript_clean", F.lit("."))
 
 
 def read_minimal_pairs(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -13,6 +13,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its input has fewer pieces than there are; large inputs pass as they are.
+
+    For costly expressions over small files, whose few row groups would keep most cores idle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
