@@ -15,6 +15,8 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.tables import spread
+
 # ---- Fixed values: the lexicon. Class -> words in small letters, without accents; other forms are found by the automaton.
 LEXICON = {
     "ins": "idiot idiots moron morons loser losers bitch bitches cretin cretins dickhead dickheads halfwit halfwits imbecile imbeciles bastard bastards asshole assholes arsehole twat twats scumbag scumbags dumbass dumbasses jackass dipshit prick pricks slut sluts whore whores retard retards wanker wankers cunt cunts motherfucker motherfuckers nitwit dimwit lowlife",
@@ -265,7 +267,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
         scorer = _scorers.setdefault("default", Scorer())
         return pd.DataFrame([scorer.score(t) for t in texts], columns=KINDS, dtype=float)
 
-    return documents.select("doc_id", "source", scores("text").alias("s")).select("doc_id", "source", "s.*")
+    return spread(documents.select("doc_id", "source", "text")).select("doc_id", "source", scores("text").alias("s")).select("doc_id", "source", "s.*")
 
 
 def abusive_found(documents: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..sources.tables import stage
+from ..sources.tables import spread, stage
 from .tokenizer import Encoder
 
 #: Labelled documents that the domain classifier is fitted on, at most, and the hash buckets of its token counts.
@@ -83,7 +83,7 @@ def memberships(documents: DataFrame, sources: list[str], tokenizer_path: str |
             member[unknown] = _softmax(np.concatenate([f, np.ones((len(f), 1))], 1) @ weights.value)
         return pd.DataFrame({"n": [len(d) for d in ids], "member": list(member)})
 
-    return documents.select("doc_id", "source", measure("text", "source").alias("m")).select("doc_id", "source", F.col("m.n").alias("n_tokens"), "m.member")
+    return spread(documents.select("doc_id", "source", "text")).select("doc_id", "source", measure("text", "source").alias("m")).select("doc_id", "source", F.col("m.n").alias("n_tokens"), "m.member")
 
 
 class Rates:

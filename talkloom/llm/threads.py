@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..sources.tables import drop_stage, stage
+from ..sources.tables import drop_stage, spread, stage
 from . import speech
 
 #: Neighbouring messages of one block of places are joined to one segment before pointers are followed.
@@ -57,7 +57,7 @@ def message_rows(utterances: DataFrame) -> DataFrame:
     Rows without transcript are left out; other columns are ignored.
     """
     u = utterances.select("row_id", "utterance_id", "speaker_code", "transcript_raw", speech.transcript_key(F.col("transcript_file")).alias("key"))
-    u = speech.with_speech(u)
+    u = speech.with_speech(spread(u))
     u = u.withColumn("words", speech.words_hash(F.col("said_text")))
     return speech.only(u, F.col("key").isNotNull(), "transcript_raw", "speaker_code")
 

@@ -8,6 +8,8 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.tables import spread
+
 #: Words of at most so many bytes are remembered, at most so many per worker; others are encoded anew each time.
 REMEMBERED_BYTES, REMEMBERED_WORDS = 48, 200_000
 
@@ -225,4 +227,4 @@ def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame
 
     Whole texts of any length; other columns are ignored; one row per input row.
     """
-    return documents.select("doc_id", encode_column(documents.sparkSession, F.col("text"), path).alias("ids"))
+    return spread(documents.select("doc_id", "text")).select("doc_id", encode_column(documents.sparkSession, F.col("text"), path).alias("ids"))
