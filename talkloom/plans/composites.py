@@ -5,6 +5,7 @@ Each function takes DataFrames and keyword arguments with the usual defaults.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import chat, responses as R
@@ -20,8 +21,6 @@ FEEDBACK = ["response_is_clarification_request", "response_is_repetition_clarifi
 
 def preprocess(df: DataFrame, names: list[tuple[str, str]] | None = None, require_timing: bool = False) -> DataFrame:
     """Parsed utterances, gated, with names filled in, "actually says" notes resolved, transcript_clean, and row_id by transcript and place."""
-    import pandas as pd
-
     df = row_gates(transcript_gates(df, require_timing))
     if names:
         df = replace_untranscribed_names(df, names)
