@@ -78,7 +78,7 @@ def memberships(documents: DataFrame, sources: list[str], tokenizer_path: str |
         for i, s in enumerate(known):
             if not unknown[i] and s in place:
                 member[i, place[s]] = 1.0
-        if unknown.any():
+        if k and unknown.any():
             f = _features([d for d, u in zip(ids, unknown) if u])
             member[unknown] = _softmax(np.concatenate([f, np.ones((len(f), 1))], 1) @ weights.value)
         return pd.DataFrame({"n": [len(d) for d in ids], "member": list(member)})
@@ -86,6 +86,17 @@ def memberships(documents: DataFrame, sources: list[str], tokenizer_path: str |
     return spread(documents.select("doc_id", "source", "text")).select("doc_id", "source", measure("text", "source").alias("m")).select("doc_id", "source", F.col("m.n").alias("n_tokens"), "m.member")
 
 
+def _matrix(members: pd.Series, k: int) -> np.ndarray:
+    return np.stack(members.to_numpy()).reshape(len(members), k)
+
+
+def likeliest_cap(member: np.ndarray, caps: np.ndarray) -> np.ndarray:
+    """How often documents may be used: as their likeliest source allows, not at all if they belong to none."""
+    if not len(caps):
+        return np.zeros(len(member))
+    return np.where(member.sum(1) > 0, caps[member.argmax(1)], 0.0)
+
+
 class Rates:
     """A document's rate, as the steps of projected gradient descent so far make it."""
 
@@ -94,7 +105,7 @@ class Rates:
 
     def of(self, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rates, caps) of documents by their membership rows."""
-        cap = np.where(member.sum(1) > 0, self.caps[member.argmax(1)], 0.0)
+        cap = likeliest_cap(member, self.caps)
         r = np.clip(member @ self.start, 0, cap)
         for s in self.steps:
             r = np.clip(r - member @ s, 0, cap)
@@ -120,10 +131,10 @@ def fit_rates(measured: DataFrame, shares: np.ndarray, caps: np.ndarray, total:
             out = np.zeros((2, k))
             for b in batches:
                 if len(b):
-                    m = np.stack(b["member"].to_numpy())
+                    m = _matrix(b["member"], k)
                     n = b["n_tokens"].to_numpy(float)[:, None]
                     if rates is None:
-                        cap = np.where(m.sum(1) > 0, caps[m.argmax(1)], 0.0)[:, None]
+                        cap = likeliest_cap(m, caps)[:, None]
                         out += [(n * m).sum(0), (n * m * cap).sum(0)]
                     else:
                         r, cap = rates.of(m)
@@ -136,6 +147,8 @@ def fit_rates(measured: DataFrame, shares: np.ndarray, caps: np.ndarray, total:
             out[r["i"]] = r["v"]
         return out.reshape(2, k)
 
+    if not k:
+        return Rates(shares, caps), 0.0
     there, most = sums(None)
     occurs = (there > 1e-6 * there.sum()) & (shares > 0) & (caps > 0)
     wanted = np.where(occurs, shares, 0.0)
@@ -176,7 +189,7 @@ def _fit(documents: DataFrame, mix_targets: DataFrame, total: float | None, toke
     def write(batches):
         for b in batches:
             if len(b):
-                r, cap = rates.of(np.stack(b["member"].to_numpy()))
+                r, cap = rates.of(_matrix(b["member"], len(caps)))
                 yield b.drop(columns="u").assign(rate=r, copies=whole(r, cap, b["u"].to_numpy()).astype(int))
 
     mixed = measured.withColumn("u", _uniform()).mapInPandas(write, "doc_id long, source string, n_tokens long, member array<double>, rate double, copies int")
