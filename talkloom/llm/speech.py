@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.tables import stage
+
 # Spellings of the roles. Left the code, right other ways to write it,
 # in capitals and with blanks for underscores.
 ROLE_SPELLINGS = {
@@ -172,6 +174,19 @@ def people(transcripts: DataFrame, participants: DataFrame, *more: str) -> DataF
     return head.join(names.hint("shuffle_hash"), "key", "left")
 
 
+#: Transcripts with more rows than this are worked on in blocks of BLOCK_IDS places, over several tasks.
+HOT_ROWS = 1_000_000
+BLOCK_IDS = 4096
+
+
+def hot_transcripts(utterances: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """key of the transcripts with more than hot_rows rows, or None where there is none. Rows are counted as spelled first."""
+    spelled = utterances.where("transcript_file is not null").groupBy("transcript_file").agg(F.count(F.lit(1)).alias("n"))
+    hot = spelled.groupBy(transcript_key(F.col("transcript_file")).alias("key")).agg(F.sum("n").alias("n")).where((F.col("n") > hot_rows) & F.col("key").isNotNull())
+    hot = stage(hot.select("key"))
+    return None if hot.isEmpty() else hot
+
+
 def speaker(names: str = "names") -> Column:
     """The speaker of a row of with_speech joined with people(), else null."""
     def named(n: str) -> Column:

@@ -62,7 +62,17 @@ def message_rows(utterances: DataFrame) -> DataFrame:
     return speech.only(u, F.col("key").isNotNull(), "transcript_raw", "speaker_code")
 
 
-def transcript_faults(utterances: DataFrame, transcripts: DataFrame, participants: DataFrame, speaker_roles: DataFrame) -> DataFrame:
+def _messages(rows: DataFrame, caregivers: list[str]) -> DataFrame:
+    """A row per transcript and place: the least and greatest hash of speaker and words, and whether anything, the child or a caregiver is heard."""
+    rows = rows.withColumn("speaker", F.coalesce(speech.speaker(), F.lit("")))
+    said_by = lambda codes: F.coalesce(F.max(F.when(F.col("speaker").isin(codes), F.col("said"))), F.lit(False))
+    return rows.groupBy("key", "utterance_id").agg(
+        F.min(F.xxhash64("speaker", "words")).alias("least"), F.max(F.xxhash64("speaker", "words")).alias("most"),
+        F.max("said").alias("said"), said_by(["CHI"]).alias("child"), said_by(caregivers).alias("care"),
+    )
+
+
+def transcript_faults(utterances: DataFrame, transcripts: DataFrame, participants: DataFrame, speaker_roles: DataFrame, hot_rows: int = speech.HOT_ROWS) -> DataFrame:
     """A row per transcript of transcripts: transcript_file, fault (null where it is whole), n_messages.
 
     fault, the first that fits: 'empty' (nothing said by anyone), 'broken' (a row without
@@ -73,17 +83,19 @@ def transcript_faults(utterances: DataFrame, transcripts: DataFrame, participant
 
     A message's parent is the place before its own. Messages whose parents follow each
     other inside a block of BLOCK places are joined to segments first; follow_parents
-    then jumps over segments.
+    then jumps over segments. Transcripts with more than hot_rows rows are gathered by place,
+    not as a whole.
     """
     caregivers = [r[0] for r in speaker_roles.where("is_caregiver").select("speaker_code").distinct().collect()]  # a fixed table of roles
     heads = speech.people(transcripts, participants, "n_utterances")
-    rows = message_rows(utterances).drop("row_id", "said_text").join(heads.select("key", "names").hint("shuffle_hash"), "key")
-    rows = rows.withColumn("speaker", F.coalesce(speech.speaker(), F.lit("")))
-    said_by = lambda codes: F.coalesce(F.max(F.when(F.col("speaker").isin(codes), F.col("said"))), F.lit(False))
-    messages = rows.groupBy("key", "utterance_id").agg(
-        F.min(F.xxhash64("speaker", "words")).alias("least"), F.max(F.xxhash64("speaker", "words")).alias("most"),
-        F.max("said").alias("said"), said_by(["CHI"]).alias("child"), said_by(caregivers).alias("care"),
-    )
+    hot = speech.hot_transcripts(utterances, hot_rows)
+    rows = message_rows(utterances).drop("row_id", "said_text")
+    if hot is None:
+        messages = _messages(rows.join(heads.select("key", "names").hint("shuffle_hash"), "key"), caregivers)
+    else:
+        cold = rows.join(hot, "key", "left_anti").join(heads.select("key", "names").hint("shuffle_hash"), "key")
+        large = rows.join(heads.select("key", "names").join(hot, "key", "left_semi"), "key").repartition("key", "utterance_id")
+        messages = _messages(cold, caregivers).unionByName(_messages(large, caregivers))
     # runs of places inside a block: place minus rank is the same along a run
     placed = Window.partitionBy("key", "block").orderBy("utterance_id")
     messages = messages.withColumn("block", F.floor(F.col("utterance_id") / BLOCK)).withColumn("run", F.col("utterance_id") - F.row_number().over(placed))

@@ -79,6 +79,19 @@ def test_turns_equal_a_loop(spark, heads):
     assert sorted(map(list, turns.turns_found(utterances(spark, rows).repartition(5), *heads[:2]).collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("untold", ["drop", "attach"])
+def test_large_transcripts_in_blocks_give_the_same_turns(spark, heads, monkeypatch, untold):
+    rnd = random.Random(5)
+    rows = [(i, rnd.randint(0, 120), rnd.choice(["CHI", "MOT", "Eva", None]), rnd.choice(["yes .", "um", "no !", "where is it ?"]), f"A/Kid/{rnd.choice([1, 1, 1, 2])}.cha") for i in range(500)]
+    u = utterances(spark, rows)
+    x = np.random.default_rng(1).random((300, len(turns.FEATURES)))
+    x[:, 0] = x[:, 0] > 0.5
+    model = turns.BoundaryModel(x, ((x[:, 1] + x[:, 2] > 1.2) | (x[:, 0] > 0.5)).astype(float))
+    plain = sorted(map(str, turns.speaker_turns(u, *heads[:2], model=model, untold=untold).collect()))
+    monkeypatch.setattr(turns.with_turns_in_blocks, "__defaults__", (16,))
+    assert sorted(map(str, turns.speaker_turns(u, *heads[:2], model=model, untold=untold, hot_rows=200).collect())) == plain
+
+
 def test_boosting(spark):
     rnd = np.random.default_rng(0)
     x = rnd.random((4000, 3))
@@ -152,6 +165,12 @@ def test_faults(spark, heads, rows, n, fault):
     assert places == ([] if fault else sorted({r[0] for r in rows}))
 
 
+def test_large_transcripts_have_the_same_faults(spark):
+    d = "/root/testdata/sf0.001"
+    t = [spark.read.parquet(f"{d}/{n}.parquet") for n in ("utterances", "transcripts", "participants", "speaker_roles")]
+    assert sorted(map(str, threads.transcript_faults(*t).collect())) == sorted(map(str, threads.transcript_faults(*t, hot_rows=40).collect()))
+
+
 def test_faults_of_empty_tables(spark, heads):
     u = utterances(spark, [(0, 0, "CHI", "a", None)])
     assert threads.faults_found(u, heads[0].limit(0), heads[1], heads[2]).count() == 0
