@@ -77,6 +77,17 @@ def proportions(df: DataFrame, by: list[str], flag: str, total: bool = False, dr
     return g.withColumns({"proportion": p, "low": F.when(known, F.greatest(F.lit(0.0), mid - half)), "high": F.when(known, mid + half)})
 
 
+def subtype_proportions(df: DataFrame, by: list[str], subtypes: list[str], flag: str) -> DataFrame:
+    """subtype, holds, by..., n, n_true, proportion of a flag: per subtype the rows where it holds against those where no subtype does.
+
+    One pass: each row is counted under each subtype that it bears or is a base row for.
+    """
+    other = reduce(lambda a, b: a | b, [F.coalesce(F.col(s), F.lit(False)) for s in subtypes])
+    kinds = F.array_compact(F.array(*[F.when(F.coalesce(F.col(s), F.lit(False)) | ~other, F.struct(F.lit(s).alias("subtype"), F.coalesce(F.col(s), F.lit(False)).alias("holds"))) for s in subtypes]))
+    d = df.select(*by, flag, F.explode(kinds).alias("_k")).select(*by, flag, "_k.*")
+    return proportions(d, ["subtype", "holds", *by], flag)
+
+
 def contingency(df: DataFrame, by: str, condition: str, outcome: str) -> DataFrame:
     """by, contingency: mean outcome where the condition holds less where it does not, per group; groups without either are dropped."""
     y = F.col(outcome).cast("double")
@@ -112,6 +123,13 @@ def top_words(df: DataFrame, text: str, k: int) -> DataFrame:
     return top_values(df.select(F.explode(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")).alias("word")), "word", k)
 
 
+def top_ngrams(df: DataFrame, text: str, n: int, k: int) -> DataFrame:
+    """The k most frequent runs of n words in small letters (of the word sequence, not of its different words)."""
+    d = df.select(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "").alias("_w")).where(F.size("_w") >= n)
+    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.array_join(F.slice("_w", i, F.lit(n)), " "))
+    return top_values(d.select(F.explode(runs).alias("ngram")), "ngram", k)
+
+
 # ---- Labels and reshaping -----------------------------------------------------------
 def explode_labels(df: DataFrame, labels: str = "labels", nulls_as: str | None = "nan", separator: str = ", ") -> DataFrame:
     """One row per label of a joined string; a null stands for the label `nulls_as`, or gives no row if that is None."""

@@ -6,7 +6,7 @@ Each function takes DataFrames and keyword arguments with the usual defaults.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import chat, responses as R
 from ..functions.errors import actually_said, with_error_labels
@@ -169,6 +169,30 @@ def words_and_grammaticality(df: DataFrame, text: str = "transcript_clean") -> D
     return df.groupBy(num_unique_words(F.col(text)).alias("n_words"), "is_grammatical").agg(F.count(F.lit(1)).alias("n"))
 
 
+def judgement(code: Column) -> Column:
+    """A judgement as true (1), false (0 or -1, of two-valued and three-valued sheets) or null (unclear or none).
+
+    code: a column of strings of the coding 1 / 0 / ?.
+    """
+    c = F.trim(code.cast("string"))
+    return F.when(c == "1", True).when(c.isin("0", "-1"), False)
+
+
+def manual_vs_derived(annotated: DataFrame, derived: DataFrame) -> DataFrame:
+    """One row: n, agreement, kappa, mcc, precision, recall, f1 of derived judgements (row_id, is_grammatical) against manual ones, ungrammatical being the class sought."""
+    d = annotated.select("row_id", judgement(F.col("is_grammatical")).alias("manual")).join(derived.select("row_id", F.col("is_grammatical").alias("derived")), "row_id")
+    d = d.select((~F.col("manual")).alias("a"), (~F.col("derived")).alias("b"))
+    return stats.agreement(d, "a", "b").crossJoin(stats.precision_recall(d, "a", "b").drop("n"))  # one row each
+
+
+def joint_development(df: DataFrame, min_age: int = 10, max_age: int = 60, min_child_rows: int = 1) -> DataFrame:
+    """Per transcript the children's shares of speech, of intelligible and of grammatical turns, each over the rows that the one before leaves."""
+    d = A.more_than_child_rows(A.age_between(df, min_age, max_age), min_child_rows).where("speaker_code = 'CHI'")
+    ok = F.coalesce(F.col("is_intelligible"), F.lit(False))
+    d = d.withColumns({"intelligible": F.when(F.col("is_speech_related"), ok), "grammatical": F.when(F.col("is_speech_related") & ok, F.col("is_grammatical"))})
+    return A.per_transcript(d.withColumn("speech", F.col("is_speech_related")), ["speech", "intelligible", "grammatical"])
+
+
 def rater_agreement(df: DataFrame, unit: str, rater: str, value: str, first: str, second: str) -> DataFrame:
     """One row: n, agreement, kappa, mcc of two raters' values side by side, one value per unit and rater."""
     side = df.groupBy(unit).agg(F.max(F.when(F.col(rater) == first, F.col(value))).alias("a"), F.max(F.when(F.col(rater) == second, F.col(value))).alias("b"))

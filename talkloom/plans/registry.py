@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import chat, responses as R, words as T
 from ..operators import analytics as A, cells, sampling as S, sequence as W, stats
+from ..operators.ml import fit_ratio_classifier, model_input, ngram_forest, with_ngram_inputs
 from ..sources.tables import spread, table
 from . import composites as Q
 
@@ -432,6 +433,96 @@ def timing_contingencies(spark, d):
     return Q.timing_contingencies(Q.timing_conversations(t))
 
 
+@query()
+def manual_vs_derived(spark, d):
+    """Hand-annotated judgements against those derived from error marks."""
+    return Q.manual_vs_derived(table(spark, d, "annotated_transcripts"), Q.annotate_errors(_loaded(spark, d)))
+
+
+@query()
+def joint_development(spark, d):
+    """Three development curves from raw lines."""
+    return Q.joint_development(Q.annotate_errors(Q.annotate(_loaded(spark, d))))
+
+
+@query()
+def request_subtypes(spark, d):
+    """How often follow-ups are grammatical after each kind of request."""
+    c = Q.grammaticality_conversations(_full_triples(spark, d))
+    return A.subtype_proportions(c, ["utt_is_grammatical"], Q.FEEDBACK[1:3], "follow_up_is_grammatical")
+
+
+@query()
+def training_texts(spark, d):
+    """Caregivers' texts for a language model."""
+    return Q.language_model_training_set(_loaded(spark, d))
+
+
+@query()
+def annotation_sheet(spark, d):
+    """A sheet to annotate by hand."""
+    return S.annotation_sheet(_loaded(spark, d), 10)
+
+
+@query()
+def context_windows(spark, d):
+    """Two texts before and after each line, speech-related ones by the full rules."""
+    u = Q.annotate(_loaded(spark, d))
+    return W.with_following(W.with_previous(u, 2), 2).select("row_id", "prev_transcript_clean_2", "following_transcript_clean_2")
+
+
+@query("SELECT ngram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS ngram FROM (SELECT list_filter(regexp_split_to_array(lower(transcript_clean), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM grammaticality_sheet) WHERE len(w) >= 2) GROUP BY ngram ORDER BY n DESC, ngram LIMIT 100")
+def top_bigrams(spark, d):
+    return A.top_ngrams(table(spark, d, "grammaticality_sheet"), "transcript_clean", 2, 100)
+
+
+@query("SELECT CASE trim(is_grammatical) WHEN '1' THEN true WHEN '0' THEN false WHEN '-1' THEN false END AS judged, count(*) AS n FROM annotated_transcripts GROUP BY 1")
+def judgement_counts(spark, d):
+    return table(spark, d, "annotated_transcripts").groupBy(Q.judgement(F.col("is_grammatical")).alias("judged")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH s AS (SELECT row_id, source, is_grammatical = 1 AS ok, starts_with(lower(transcript_clean), 'i ') AS a, contains(transcript_clean, 'that') AS b FROM grammaticality_sheet WHERE is_grammatical IN (1, -1) AND transcript_clean IS NOT NULL),
+l AS (SELECT 'a' AS subtype, a AS holds, ok FROM s WHERE a OR NOT (a OR b) UNION ALL SELECT 'b', b, ok FROM s WHERE b OR NOT (a OR b)) SELECT subtype, holds, count(*) AS n, count(*) FILTER (WHERE ok) AS n_true FROM l GROUP BY 1, 2""")
+def subtype_counts(spark, d):
+    s = table(spark, d, "grammaticality_sheet").where(F.col("is_grammatical").isin(1, -1) & F.col("transcript_clean").isNotNull())
+    s = s.withColumns({"ok": F.col("is_grammatical") == 1, "a": F.lower("transcript_clean").startswith("i "), "b": F.col("transcript_clean").contains("that")})
+    return A.subtype_proportions(s, [], ["a", "b"], "ok").select("subtype", "holds", "n", "n_true")
+
+
+@query("SELECT a.row_id, a.transcript_file, u.speaker_code, a.labels FROM annotated_transcripts a JOIN utterances u ON u.row_id = a.row_id")
+def annotated_speakers(spark, d):
+    u = table(spark, d, "utterances").select("row_id", "speaker_code")
+    return table(spark, d, "annotated_transcripts").join(u, "row_id").select("row_id", "transcript_file", "speaker_code", "labels")
+
+
+@query("SELECT corpus, speech_act, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY corpus), 9) AS share FROM utterances GROUP BY corpus, speech_act")
+def speech_act_shares(spark, d):
+    return A.corpus_label_shares(table(spark, d, "utterances"), "corpus", "speech_act").select("corpus", "speech_act", "n", F.round("share", 9).alias("share"))
+
+
+@query("SELECT row_id, coalesce(prev_transcript_clean, '') || '[SEP]' || transcript_clean || '[EOS]' AS line FROM grammaticality_sheet WHERE transcript_clean IS NOT NULL")
+def model_lines(spark, d):
+    s = table(spark, d, "grammaticality_sheet").where("transcript_clean is not null")
+    return s.select("row_id", model_input(F.col("transcript_clean"), F.col("prev_transcript_clean"), end="[EOS]").alias("line"))
+
+
+@query()
+def ngram_forest_errors(spark, d):
+    """Rows of the validation split that a random forest on n-grams of the training split gets wrong, and how many it gets right, by judgement."""
+    s = table(spark, d, "grammaticality_sheet").where(F.col("is_grammatical").isin(1, -1)).withColumn("ok", F.col("is_grammatical") == 1)
+    m = ngram_forest(s.where("split = 'train'"), "transcript_clean", "ok", 100, 20)
+    return m.transform(with_ngram_inputs(s.where("split = 'val'"), "transcript_clean", "ok")).groupBy("ok", (F.col("prediction") == F.col("label")).alias("is_correct")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def repetition_classifier(spark, d):
+    """The weights of the classifier of repeated words on the sheet's pairs of texts, as a stand-in for labelled responses."""
+    s = table(spark, d, "grammaticality_sheet").where(F.col("is_grammatical").isin(1, -1) & F.col("prev_transcript_clean").isNotNull())
+    r = R.with_repetition_ratios(s, "prev_transcript_clean", "transcript_clean").withColumn("ok", F.col("is_grammatical") == 1)
+    a, b, c = fit_ratio_classifier(r, "rep_utt", "rep_response", "ok")
+    return spark.createDataFrame([(a, b, c)], "of_utterance double, of_response double, intercept double")
+
+
 @query()
 def p3_found(spark, d):
     """table_name, row_id, item_no, label of the packed label cells."""

@@ -137,6 +137,18 @@ def read_word_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("word")).where("word != ''").distinct()
 
 
+def read_names(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(name, sex) of a names table with columns name, sex, percent, most frequent first; a small table by its nature."""
+    rows = spark.read.csv(path, header=True, schema="name string, sex string, percent double").dropna(subset=["name"]).orderBy(F.desc("percent"), "name").select("name", "sex").collect()
+    return [(r["name"], r["sex"]) for r in rows]
+
+
+def read_annotated(spark: SparkSession, folder: str, corpus: str = "") -> DataFrame:
+    """row_id, utterance, is_grammatical, labels, note, transcript of all <corpus>*_annotated.csv files of a folder."""
+    d = spark.read.csv(f"{folder}/{corpus}*_annotated.csv", header=True, escape='"', multiLine=True, schema="row_id long, utterance string, is_grammatical string, labels string, note string")
+    return d.withColumn("transcript", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_annotated\.csv$", 1))
+
+
 def read_table_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV file with header and quoted line breaks, read by a given schema. Array columns are Python literals and come as arrays."""
     declared = T.StructType.fromDDL(schema)
