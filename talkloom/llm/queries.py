@@ -30,4 +30,19 @@ QUERIES = {
     "p2_conversations": _tables(*TRANSCRIPT_TABLES, "speaker_roles")(threads.conversations),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _path_sql(c: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace({c}, '[\\s\\x{{a0}}]', '', 'g')), '[\\\\/]+', '/', 'g'), '^[./]+', ''), '\\.cha$', '')"
+
+
+_LETTERS = "lower(regexp_replace({0}, '[^A-Za-z]', '', 'g'))"
+
+# The other results need code blocks, pointers, grammars, automata or models, which SQL does not express.
+ORACLE_SQL: dict[str, str] = {
+    "p5_found": f"""WITH RECURSIVE c AS (SELECT child_name, {_LETTERS.format("child_name")} AS k FROM children),
+named AS (SELECT transcript_file, child_name, corpus FROM utterances UNION SELECT transcript_file, child_name, corpus FROM transcripts),
+spelled AS (SELECT {_path_sql("transcript_file")} AS key, {_LETTERS.format("child_name")} AS b, {_LETTERS.format("corpus")} AS co FROM named WHERE transcript_file IS NOT NULL AND child_name IS NOT NULL),
+p AS (SELECT DISTINCT key, c.child_name AS child FROM spelled JOIN c ON c.k = CASE WHEN starts_with(b, co) THEN b ELSE co || b END),
+e AS (SELECT DISTINCT x.child AS a, y.child AS b FROM p x JOIN p y ON x.key = y.key),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b), g AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT t.transcript_file, min(g.m) AS group_name FROM transcripts t LEFT JOIN p ON p.key = {_path_sql("t.transcript_file")} LEFT JOIN g ON g.a = p.child GROUP BY 1""",
+}

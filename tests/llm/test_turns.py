@@ -101,7 +101,8 @@ def test_boosting(spark):
     p = m.predict(x[3000:])
     assert ((p > 0) == y[3000:]).mean() > 0.97
     d = spark.createDataFrame([[None if v != v else float(v) for v in r] for r in x[3000:3100].tolist()], "a double, b double, c double")
-    assert np.allclose([r[0] for r in d.select(m.score()).collect()], p[:100])
+    ready = d.withColumns({f"_{c}": Boosted.ready(c) for c in "abc"})
+    assert np.allclose([r[0] for r in ready.select(m.score("_")).collect()], p[:100])
     assert Boosted(["a"]).fit(np.zeros((0, 1)), np.zeros(0)).predict(np.zeros((2, 1))).shape == (2,)
 
 
@@ -110,7 +111,8 @@ def test_boundary_model_decides_without_labels(spark):
     t = [spark.read.parquet(f"{d}/{n}.parquet") for n in ("utterances", "transcripts", "participants")]
     m = turns.fit_boundary_model(*t, most_pairs=5000)
     lines = turns.with_boundary_features(turns.spoken_lines(*t)).where("label_differs is not null").withColumn("truth", F.col("label_differs")).withColumn("label_differs", F.lit(None).cast("int"))
-    r = lines.select(F.avg(((m.score() > 0) == (F.col("truth") == 1)).cast("double")), F.avg(F.col("truth").cast("double"))).first()
+    lines = m.with_scored(lines.withColumn("is_first", F.lit(False)))
+    r = lines.select(F.avg((F.col("scored") == (F.col("truth") == 1)).cast("double")), F.avg(F.col("truth").cast("double"))).first()
     assert r[0] > max(r[1], 1 - r[1]) + 0.1  # better than always the same answer
 
 
