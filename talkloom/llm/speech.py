@@ -108,39 +108,55 @@ def role_of(bare: Column) -> Column:
     return F.element_at(spellings, code)
 
 
-def with_speech(df: DataFrame, raw: str = "transcript_raw", code: str = "speaker_code") -> DataFrame:
-    """Adds what a line says and who is told to speak it.
+def with_said(df: DataFrame, raw: str = "transcript_raw") -> DataFrame:
+    """Adds what a line says.
 
     said_text  the words said, without marks; '' if nothing is said, also for a null line
     said       whether anything is said
-    role       the speaker's code where speaker_code names a role, or, if it tells no speaker, the opening label does
-    name_1, name_2  names to look up among the transcript's people where role is null (of the code, of the label)
+    label      the speaker label that opens the line, as written; '' where there is none
 
-    Each step is a column of its own, so that none is worked out twice.
+    Each step is a column of its own, so that none is worked out twice. Speakers are told
+    apart later (with_roles): both together make methods too long for the JVM to compile.
     """
+    t = F.col("_t")
     steps = [
         ("_t", F.coalesce(F.col(raw), F.lit(""))),
-        ("_t", F.when((F.octet_length("_t") != F.length("_t")) | F.col("_t").contains("\t"), tidy(F.col("_t"))).otherwise(F.col("_t"))),
-        ("_t", _where_any(F.col("_t"), ":\x15•", F.regexp_replace("_t", TIME_MARKS, " "))),
-        ("_l", F.when(F.col("_t").contains(":") | F.col("_t").contains("["), F.regexp_extract("_t", LABEL, 0)).otherwise("")),
-        ("_t", F.when(F.col("_l") != "", F.expr("substr(_t, length(_l) + 1)")).otherwise(F.col("_t"))),
-        ("_t", _where_any(F.col("_t"), ":", F.regexp_replace("_t", r"(?<=\p{L}):(?=\p{L})", ""))),
-        ("_t", _where_any(F.col("_t"), "([{*", F.regexp_replace("_t", NOTES, " "))),
-        ("_t", F.regexp_replace("_t", UNSAID_WORDS, " ")),
-        ("_t", _where_any(F.col("_t"), '@<>()“”"', F.regexp_replace("_t", r'@[^\s.,!?]+|[<>()“”"]', ""))),
-        ("said_text", F.trim(F.regexp_replace("_t", r"(?<!\S)[^\p{L}\p{N}\s.!?]+(?!\S)|\s+(?=[.!?\s]|$)", ""))),
+        ("_t", F.when((F.octet_length(t) != F.length(t)) | t.contains("\t"), tidy(t)).otherwise(t)),
+        ("_t", _where_any(t, ":\x15•", F.regexp_replace(t, TIME_MARKS, " "))),
+        ("label", F.when(t.contains(":") | t.contains("["), F.regexp_extract(t, LABEL, 0)).otherwise("")),
+        ("_t", F.when(F.col("label") != "", F.expr("substr(_t, length(label) + 1)")).otherwise(t)),
+        ("_t", _where_any(t, ":", F.regexp_replace(t, r"(?<=\p{L}):(?=\p{L})", ""))),
+        ("_t", _where_any(t, "([{*", F.regexp_replace(t, NOTES, " "))),
+        ("_t", F.regexp_replace(t, UNSAID_WORDS, " ")),
+        ("_t", _where_any(t, '@<>()“”"', F.regexp_replace(t, r'@[^\s.,!?]+|[<>()“”"]', ""))),
+        ("said_text", F.trim(F.regexp_replace(t, r"(?<!\S)[^\p{L}\p{N}\s.!?]+(?!\S)|\s+(?=[.!?\s]|$)", ""))),
         ("said", F.col("said_text").rlike(r"[\p{L}\p{N}]")),
-        ("_c", F.when(F.col(code).isin(list(ROLE_SPELLINGS)), F.col(code)).otherwise(bare_speaker(F.col(code)))),
+    ]
+    for name, c in steps:
+        df = df.withColumn(name, c)
+    return df.drop("_t")
+
+
+def with_roles(df: DataFrame, code: str = "speaker_code", label: str = "label") -> DataFrame:
+    """Adds who is told to speak a line of with_said; takes the code and the label away.
+
+    role            the speaker's code where speaker_code names a role
+    role_2          the same of the label, where the code does not
+    name_1, name_2  names to look up among the transcript's people where role is null (of the code, of the label)
+    """
+    roles = list(ROLE_SPELLINGS)
+    steps = [
+        ("_c", F.when(F.col(code).isin(roles), F.col(code)).otherwise(bare_speaker(F.col(code)))),
         ("_c", F.when(~F.col("_c").isin(NO_SPEAKER), F.col("_c"))),
-        ("role", F.when(F.col("_c").isin(list(ROLE_SPELLINGS)), F.col("_c")).otherwise(role_of(F.col("_c")))),
+        ("role", F.when(F.col("_c").isin(roles), F.col("_c")).otherwise(role_of(F.col("_c")))),
         ("name_1", F.when(F.col("role").isNull(), F.col("_c"))),
-        ("_l", F.when(F.col("role").isNull() & (F.col("_l") != ""), bare_speaker(F.col("_l")))),
+        ("_l", F.when(F.col("role").isNull() & (F.col(label) != ""), bare_speaker(F.col(label)))),
         ("name_2", F.when(~F.col("_l").isin(NO_SPEAKER), F.col("_l"))),
         ("role_2", F.when(F.col("name_2").isNotNull(), role_of(F.col("name_2")))),
     ]
     for name, c in steps:
         df = df.withColumn(name, c)
-    return df.drop("_t", "_l", "_c")
+    return df.drop("_c", "_l", code, label)
 
 
 def only(df: DataFrame, wanted: Column, *without: str) -> DataFrame:
@@ -152,6 +168,12 @@ def only(df: DataFrame, wanted: Column, *without: str) -> DataFrame:
     return df.select(F.explode(F.when(wanted, F.array(F.struct(*keep)))).alias("x")).select("x.*")
 
 
+def only_known(df: DataFrame, column: str) -> DataFrame:
+    """df's rows whose column is not null, by a generator over that column alone, so that the others can still be pruned."""
+    known = F.explode(F.when(F.col(column).isNotNull(), F.array(column))).alias("_known")
+    return df.select(*[c for c in df.columns if c != column], known).withColumnRenamed("_known", column)
+
+
 def words_hash(text: Column) -> Column:
     """A 64-bit hash of the words of a cleaned line, blind to case, punctuation and spacing."""
     return F.xxhash64(F.trim(F.translate(F.lower(text), ".,!?…;\"“”„()<>‡", "")))
@@ -197,8 +219,13 @@ def hot_transcripts(utterances: DataFrame, hot_rows: int = HOT_ROWS) -> DataFram
     return None if hot.isEmpty() else hot
 
 
+def with_speaker(df: DataFrame) -> DataFrame:
+    """Adds speaker to rows of with_said joined with people(); takes away what it is told from."""
+    return with_roles(df).withColumn("speaker", speaker()).drop("names", "name_1", "name_2", "role", "role_2")
+
+
 def speaker(names: str = "names") -> Column:
-    """The speaker of a row of with_speech joined with people(), else null."""
+    """The speaker of a row of with_roles joined with people(), else null."""
     def named(n: str) -> Column:
         return F.get(F.filter(names, lambda x: x["name"] == F.col(n)), 0)["code"]
 

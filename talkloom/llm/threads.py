@@ -52,19 +52,19 @@ def follow_parents(messages: DataFrame, thread: str = "thread", node: str = "nod
 
 
 def message_rows(utterances: DataFrame) -> DataFrame:
-    """Utterance rows with transcript key, the speaker as told, whether anything is said, and a hash of the words.
+    """Utterance rows with transcript key, speaker code and label, whether anything is said, and a hash of the words.
 
     Rows without transcript are left out; other columns are ignored.
     """
     u = utterances.select("row_id", "utterance_id", "speaker_code", "transcript_raw", speech.transcript_key(F.col("transcript_file")).alias("key"))
-    u = speech.with_speech(spread(u))
+    u = speech.with_said(spread(u))
     u = u.withColumn("words", speech.words_hash(F.col("said_text")))
-    return speech.only(u, F.col("key").isNotNull(), "transcript_raw", "speaker_code")
+    return speech.only(u, F.col("key").isNotNull(), "transcript_raw")
 
 
 def _messages(rows: DataFrame, caregivers: list[str]) -> DataFrame:
     """A row per transcript and place: the least and greatest hash of speaker and words, and whether anything, the child or a caregiver is heard."""
-    rows = rows.withColumn("speaker", F.coalesce(speech.speaker(), F.lit("")))
+    rows = speech.with_speaker(rows).withColumn("speaker", F.coalesce("speaker", F.lit("")))
     said_by = lambda codes: F.coalesce(F.max(F.when(F.col("speaker").isin(codes), F.col("said"))), F.lit(False))
     return rows.groupBy("key", "utterance_id").agg(
         F.min(F.xxhash64("speaker", "words")).alias("least"), F.max(F.xxhash64("speaker", "words")).alias("most"),
@@ -135,8 +135,9 @@ def conversations(utterances: DataFrame, transcripts: DataFrame, participants: D
     """
     whole = transcript_faults(utterances, transcripts, participants, speaker_roles).where("fault is null").select(speech.transcript_key(F.col("transcript_file")).alias("key"))
     rows = message_rows(utterances).where("utterance_id is not null").join(whole, "key", "left_semi")
-    rows = rows.groupBy("key", "utterance_id").agg(F.min(F.struct("row_id", "role", "role_2", "name_1", "name_2", "said_text")).alias("r")).select("key", "utterance_id", "r.*")
-    rows = rows.join(speech.people(transcripts, participants).hint("shuffle_hash"), "key").withColumn("speaker_code", speech.speaker())
+    rows = rows.groupBy("key", "utterance_id").agg(F.min(F.struct("row_id", "speaker_code", "label", "said_text")).alias("r")).select("key", "utterance_id", "r.*")
+    rows = rows.join(speech.people(transcripts, participants).hint("shuffle_hash"), "key")
+    rows = speech.with_speaker(rows).withColumnRenamed("speaker", "speaker_code")
     roles = speaker_roles.dropDuplicates(["speaker_code"]).select("speaker_code", "participant_role", "is_caregiver")
     return rows.join(F.broadcast(roles), "speaker_code", "left").select(
         "transcript_file", F.col("utterance_id").alias("position"), "speaker_code", "participant_role", "is_caregiver", F.col("said_text").alias("text"))

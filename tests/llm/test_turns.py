@@ -31,7 +31,7 @@ def utterances(spark, rows):
     ("<the dog> [//] the cat [: rat] [*] .", "the dog the cat."), ("XXX .", None), (None, None), ("", None), ("   ", None), ("UH@s:deu wa:nt it@s:deu", "want it"), ("umbrella er", "umbrella"), ("word " * 3000, ("word " * 3000).strip()),
 ])
 def test_what_is_said(spark, raw, said):
-    r = speech.with_speech(spark.createDataFrame([(raw, "CHI")], "transcript_raw string, speaker_code string")).first()
+    r = speech.with_said(spark.createDataFrame([(raw, "CHI")], "transcript_raw string, speaker_code string")).first()
     assert (r["said_text"] if r["said"] else None) == said
 
 
@@ -40,8 +40,8 @@ def test_what_is_said(spark, raw, said):
     ("mummy", "x", "MOT"), ("EVA", "x", "MOT"), ("?", "[MOT] x", "MOT"), (None, "*CHI:\tx", "CHI"), ("", "Eva: x", "MOT"), ("UNK", "x", None), ("Stranger", "x", None), ("CHI", "MOT: x", "CHI"), (None, "[00:01] *inv: x", "INV"), (None, None, None),
 ])
 def test_speakers(spark, heads, code, raw, want):
-    d = speech.with_speech(utterances(spark, [(0, 0, code, raw, "A/Kid/1.cha")]).drop("said", "key")).withColumn("key", speech.transcript_key(F.col("transcript_file")))
-    assert d.join(speech.people(*heads[:2]), "key").select(speech.speaker()).first()[0] == want
+    d = speech.with_said(utterances(spark, [(0, 0, code, raw, "A/Kid/1.cha")]).drop("said", "key")).withColumn("key", speech.transcript_key(F.col("transcript_file")))
+    assert speech.with_speaker(d.join(speech.people(*heads[:2]), "key")).first()["speaker"] == want
 
 
 @pytest.mark.parametrize("path, key", [("A/B/1.cha", "a/b/1"), ("./A//B/1.CHA ", "a/b/1"), ("A\\B\\1", "a/b/1"), (" ", None), (None, None), ("", None)])
