@@ -195,4 +195,5 @@ def label_steps(stripped: str, partial_speech: bool | None = True, unintelligibl
 
 def with_labels(df: DataFrame, raw: str = "transcript_raw", **how) -> DataFrame:
     """Adds is_speech_related and is_intelligible of raw lines (see label_steps); null for null."""
-    return steps(df, strip_steps(F.col(raw), "__stripped") + label_steps("__stripped", **how))
+    df = steps(df, strip_steps(F.col(raw), "_stripped"))  # on its own, as longer methods are not compiled to machine code
+    return steps(df, label_steps("_stripped", **how)).drop("_stripped")
