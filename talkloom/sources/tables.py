@@ -16,10 +16,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its input has fewer pieces than there are; large inputs pass as they are.
 
-    For costly expressions over small files, whose few row groups would keep most cores idle.
+    For costly expressions over small files, whose few row groups would keep most cores
+    idle. A df that is shuffled already is left to adaptive execution.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
 
 
 def shared_folder(spark: SparkSession) -> str:
