@@ -36,12 +36,14 @@ LEXICON = {
 # Words of other languages that insult on their own or with one more of them.
 FOREIGN_STRONG = "arschloch vollidiot hurensohn wichser missgeburt schlampe drecksau connard connasse salope encule batard cabron gilipollas pendejo klootzak kankerlijer stronzo vaffanculo puttana ublyudok suka"
 FOREIGN_PHRASES = [
-    r"verpiss dich", r"halt die fresse", r"dumme sau", r"dich braucht keiner", r"ungeziefer", r"gehoren (?:vernichtet|vergast)", r"fick dich", r"du (?:wertloser?|dummer?|blode|elende) ",
-    r"ferme ta gueule", r"ta gueule", r"espece de (?:merde|con|salaud|porc)", r"personne ne veut de toi", r"va crever", r"pauvre (?:imbecile|con|type|merde)", r"de la vermine", r"nique ta mere", r"fils de pute", r"va te faire (?:foutre|enculer)",
-    r"hijo de puta", r"vete a la mierda", r"ojala te mueras", r"inutil de mierda", r"maldito imbecil", r"eres una mierda", r"son (?:ratas|basura|animales|parasitos)", r"hay que (?:eliminarlos|matarlos)", r"te voy a matar",
-    r"rot op", r"kanker\w+", r"hou je bek", r"figlio di puttana", r"filho da puta", r"vai se foder",
-    r"сдохни", r"сука", r"ублюдок", r"заткнись", r"мразь", r"死ね", r"殺す", r"クズ",
+    r"verpiss dich", r"halt die fresse", r"dumme sau", r"dich braucht keiner", r"ungeziefer", r"gehoren (?:vernichtet|vergast)", r"fick dich", r"du (?:wertloser?|dummer?|blode|elende)\b",
+    r"ferme ta gueule", r"ta gueule", r"espece de (?:merde|con(?:s|nes?|n?ards?|nasses?)?\b|salaud|porc)", r"personne ne veut de toi", r"va crever", r"pauvre (?:imbecile|con(?:s|nes?|n?ards?|nasses?)?\b|type|merde)", r"de la vermine", r"nique ta mere", r"fils de pute", r"va te faire (?:foutre|enculer)",
+    r"hijo de puta", r"vete a la mierda", r"ojala te mueras", r"inutil de mierda", r"maldito imbecil", r"eres una mierda", r"son (?:ratas|basura|parasitos|(?:unos|todos|como) animales)", r"hay que (?:eliminarlos|matarlos)", r"te voy a matar",
+    r"rot op\b", r"kanker(?!patient|onderzoek|cel|behandeling|centr|fonds|bestrijding|soort|zorg|specialist|gezwel|verwekkend|medicijn|diagnose|vorm|risico|preventie|screening|therapie|vrij|genezing|ziekenhuis)\w+", r"hou je bek", r"figlio di puttana", r"filho da puta", r"vai se foder",
+    r"сдохни", r"сука", r"ублюдок", r"заткнись", r"мразь",
 ]
+# Japanese has no spaces: these are looked for anywhere, but not as parts of other words (could die, Max) or of plain reports of killing.
+FOREIGN_RUNS = [r"死ね(?![ばなる])", r"(?<!\w)殺す(?!\w)", r"殺すぞ", r"(?:お前|おまえ|てめえ|貴様|あなた|君)(?:ら|たち|達)?を殺す", r"(?<![ァ-ヺー])クズ(?![ァ-ヺー])"]
 # Everyday words one letter away from a lexicon word of seven letters or more.
 NEIGHBOURS = set("morning mornings mourning custard mustard bustard bastion hardcover unlearning loading roaming".split())
 LOOKALIKES = str.maketrans("авеёзіјкмнопрстухѕԁɡһαεικνορτυχ", "abeezijkmhonpctyxsdghaeiknoptux")
@@ -96,8 +98,10 @@ class LexiconTrie:
 
 
 def fold(word: str) -> str:
-    """Small letters without accents."""
-    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c)) if not word.isascii() else word.lower()
+    """Small letters without accents; the voicing marks of Japanese stay, as they tell letters apart."""
+    if word.isascii():
+        return word.lower()
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", word.lower()) if c in "\u3099\u309a" or not unicodedata.combining(c)))
 
 
 class Scorer:
@@ -105,11 +109,11 @@ class Scorer:
 
     def __init__(self, lexicon: dict[str, str] | None = None, remembered: int = 200_000):
         self.trie = LexiconTrie((lexicon or LEXICON) | {"foreign": FOREIGN_STRONG})
-        self.seen: dict[str, tuple[str, bool]] = {}
+        self.seen: dict[str, tuple[str, str]] = {}
         self.remembered = remembered
 
-    def canonical(self, token: str) -> tuple[str, bool]:
-        """The token's tag ("#" and its class) or the folded token; and whether it makes its surroundings worth a look."""
+    def canonical(self, token: str) -> tuple[str, str]:
+        """The token's tag ("#" and its class), or the folded token where it has none; and the folded token."""
         got = self.seen.get(token)
         if got is None:
             got = self._canonical(token)
@@ -118,7 +122,7 @@ class Scorer:
             self.seen[token] = got
         return got
 
-    def _canonical(self, token: str) -> tuple[str, bool]:
+    def _canonical(self, token: str) -> tuple[str, str]:
         word = fold(token).replace("’", "'")
         if not word.isascii() and any("a" <= c <= "z" for c in word):
             word = word.translate(LOOKALIKES)
@@ -137,11 +141,11 @@ class Scorer:
                     continue
                 hit = self.trie.find(t, 0) if t else None
                 if hit:
-                    return "#" + hit[1], True
+                    return "#" + hit[1], plain
             for t in tries:
                 if len(t) >= 7 and t.isalpha() and t.isascii() and t not in NEIGHBOURS and (hit := self.trie.find(t, 1)) and len(hit[0]) >= 7:
-                    return "#" + hit[1], True
-        return plain, plain in ANCHORS
+                    return "#" + hit[1], plain
+        return plain, plain
 
     def joined(self, letters: str) -> str:
         """Spaced-out letters as one word, or as two where they are an article or a lexicon word and a lexicon word."""
@@ -154,33 +158,32 @@ class Scorer:
         return letters
 
     def lines(self, text: str):
-        """Stretches of canonical words, those in which something is worth a look; "." where a sentence ends, '"' for quotation marks."""
+        """Stretches of canonical words, each with the same of folded words; "." where a sentence ends, '"' for quotation marks."""
         if not text.isascii():
             text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
         text = SPACED.sub(lambda m: self.joined(re.sub(r"[ .*_\-]", "", m[0])), text)
         for line in text.split("\n"):
-            out, look = [], False
+            out = []
             for t in TOKEN.findall(line):
                 if t in ".!?|;:":
-                    out.append(".")
+                    out.append((".", "."))
                 elif t in '"“”«»„':
-                    out.append('"')
+                    out.append(('"', '"'))
                 else:
-                    c, worth = self.canonical(t)
-                    look |= worth
-                    out.append(c)
-            if look:
-                yield " ".join(out)
+                    out.append(self.canonical(t))
+            if out:
+                yield tuple(map(" ".join, zip(*out)))
 
     def score(self, text: str | None) -> dict:
         """score from 0 to 1 (the strongest context window), and the strongest of each kind; zeros for null and empty texts."""
         kinds = dict.fromkeys(("insult", "threat", "hate", "sexual"), 0.0)
-        for line in self.lines(text) if text else ():
+        for canonical, folded in self.lines(text) if text else ():
             for kind, weight, pattern in PATTERNS:
+                line = folded if pattern is FOREIGN else canonical
                 if kinds[kind] < weight:
                     for m in pattern.finditer(line):
                         kinds[kind] = max(kinds[kind], weight * reported(line, m.start(), m.end()))
-            kinds["sexual"] = max(kinds["sexual"], lewdness(line))
+            kinds["sexual"] = max(kinds["sexual"], lewdness(canonical))
         return {"score": max(kinds.values())} | kinds
 
 
@@ -199,8 +202,13 @@ _INS = r"(?:#ins|piece of #shit|waste of space|#deh)"
 _GAP = r"(?: [^. ]+)"
 _AFTER_GROUP = rf"(?:#grp|(?:gay|old|disabled|village|black|trans|poor|fat|people of) (?:people|their|his|her|colou?r)(?: colou?r)?|people of {_GAP}{{0,2}}|those {_GAP[4:-1]}|the \w+)"
 _DEH = r"(?:#deh|inferior (?:breed|race)|born (?:thief|thieves|criminals?|liars?))"
+_BODY = r"(?:face|arms?|legs?|neck|teeth|head|skull|bones|fingers|throat|knees)"
+_NOT_WARNED = "".join(f"(?<!{w} )" for w in ("you", "you'll", "you will", "you might", "you may", "you could", "you can", "don't", "dont", "not", "to not", "won't"))
+_PERSON = r"(?:#grp|#ins|#deh|they|them|those|these|people|kind|lot|all|everyone|everybody|you|he|she|who)"
+# Looked for among folded words, not canonical ones, as the lexicon holds some of its words.
+FOREIGN = re.compile(rf"(?<!\w)(?:{'|'.join(FOREIGN_PHRASES)})|{'|'.join(FOREIGN_RUNS)}")
 # kind, weight, pattern over canonical words
-PATTERNS = [(k, w, re.compile(p)) for k, w, p in [
+PATTERNS = [(k, w, p if p is FOREIGN else re.compile(p)) for k, w, p in [
     ("insult", 1.0, rf"\b(?:you|youre|you're|ur|u)(?: are| were| re)?(?: nothing but| just| only| all| really| such)?(?: an?| the)? (?:old |little |big )?{_ADJ}{_INS}(?! (?:tape|video))"),
     ("insult", 1.0, rf"(?:#adj (?:person|thing|man|woman|human|parent|mother|father)|{_INS})(?: [^. ]+)? like you\b"),
     ("insult", 1.0, rf"{_INS} (?:that )?you are\b"),
@@ -208,23 +216,29 @@ PATTERNS = [(k, w, re.compile(p)) for k, w, p in [
     ("insult", 1.0, rf"\banyone be such an? {_ADJ}{_INS}"),
     ("insult", 1.0, rf"\byour (?:whole |entire )?(?:family|kids?|mother|mum|mom|children|lot|kind)(?: are| is| was)?(?: an?| all)? {_ADJ}{_INS}"),
     ("insult", 1.0, rf"\bwhat an? {_ADJ}{_INS}"),
-    ("insult", 1.0, r"\byou(?:'re| are|re)? (?:too|so|as) (?:#adj|thick|slow) (?:to|that)\b"),
+    ("insult", 1.0, r"\byou(?:'re| are|re)? (?:too|so|as) (?:(?:#adj|thick) (?:to|that)|slow (?:that|to (?:understand|get it|learn|know|think|read|see that)))\b"),
     ("insult", 1.0, r"\byour #adj (?:advice|face|opinion|mouth|brain|child|kid|family)\b"),
     ("insult", 1.0, r"\bnobody (?:will ever|could ever|would ever|wants|likes|needs|loves)(?: love| want| like)?(?: an?)?(?: [^. ]+){0,3} (?:you|like you)\b"),
     ("insult", 1.0, r"\b(?:you )?make me sick\b|\b#fuck (?:you|off)\b|#kys|\bshut your (?:#adj )?mouth\b|\bshut up you\b"),
     ("insult", 1.0, r"\bcrawl back under\b|\b(?:people|someone|anyone) like you should\b"),
     ("insult", 1.0, r"\bdisappear for good\b|\bnobody would (?:even )?miss you\b|\bnever have been born\b|\bdeserve every beating\b"),
-    ("insult", 0.9, "|".join(FOREIGN_PHRASES)),
+    ("insult", 0.9, FOREIGN),
     ("insult", 0.9, r"#foreign"),
-    ("threat", 1.0, r"\b(?:break|smash|crush|cut|rip|tear|punch|bash|kick|slit|snap)(?: [^. ]+){0,2} your (?:[^. ]+ )?(?:face|arms?|legs?|neck|teeth|head|skull|bones|fingers|throat|knees)\b"),
-    ("threat", 1.0, r"\b(?:i|we|i'll|i'd|we'll|gonna)(?: will| would| am| are| going| to| could| gonna){0,4} (?:kill|murder|stab|strangle|slap|punch|shoot|beat|burn|hang|choke|rape) (?:you|your|them all)\b"),
+    ("threat", 1.0, rf"\b(?:break|smash|punch)(?: [^. ]+){{0,2}} your (?:[^. ]+ )?{_BODY}\b"),
+    ("threat", 1.0, rf"{_NOT_WARNED}\b(?:crush|rip|tear|bash|slit|snap)(?: [^. ]+){{0,2}} your (?:[^. ]+ )?{_BODY}\b"),
+    ("threat", 1.0, rf"{_NOT_WARNED}\b(?:cut|kick)(?: [^. ]+){{0,2}} your (?:[^. ]+ )?(?:face|neck|teeth|head|skull|bones|throat|knees)\b"),
+    ("threat", 1.0, rf"\b(?:i|we|i'll|i'd|we'll|gonna)(?: will| would| am| are| going| to| could| gonna){{0,4}} (?:cut|kick)(?: [^. ]+){{0,2}} your (?:[^. ]+ )?{_BODY}\b"),
+    ("threat", 1.0, r"\b(?:i|we|i'll|i'd|we'll|gonna)(?: will| would| am| are| going| to| could| gonna){0,4} (?:(?:kill|murder|stab|strangle|slap|punch|shoot|beat|choke|rape) (?:you|your|them all)|(?:burn|hang) (?:you\b|them all|your (?:[^. ]+ )?(?:face|eyes|skin|body|family|kids?|children|mother|mum|mom|wife|husband)))\b"),
     ("threat", 1.0, r"\bset your (?:[^. ]+ )?on fire\b|\bburn (?:your|their) (?:house|home)|\bknow where you live\b"),
-    ("threat", 1.0, r"\bdrop dead\b|\bkill yourself\b|\brot in (?:a ditch|#hell|prison)\b|\bhope you (?:die|choke|rot|suffer|get)\b|\bgo (?:and )?die\b|\bgo to #hell\b"),
+    ("threat", 1.0, r"\bdrop dead\b|\bkill yourself\b|\brot in (?:a ditch|#hell|prison)\b|\bhope you (?:die|choke|rot|suffer)\b|\bgo (?:and )?die\b|\bgo to #hell\b"),
+    ("threat", 1.0, r"\bhope you (?:all )?get (?:[^. ]+ ){0,2}(?:cancer|aids|raped|hit|shot|stabbed|killed|beaten|beat|run over|hurt|sick|ill|attacked|robbed|burned|burnt|crushed|#end|what you deserve|what is coming|what's coming)\b"),
     ("hate", 1.0, rf"(?:#grp|\bpeople|\bpeople of their colou?r)(?: [^. ]+){{0,2}} (?:are|is) (?:all |just |nothing but )?(?:an? )?{_ADJ}{_DEH}"),
     ("hate", 1.0, rf"\b(?:all|every one of|those|these|i hate|no)(?: [^. ]+){{1,5}}? (?:they )?(?:are|is) (?:all |just |nothing but )?(?:an? )?{_ADJ}{_DEH}(?: (?:and|who))? (?:should|must|belong|need)\b"),
-    ("hate", 1.0, r"\b(?:should|must|needs? to|ought to) (?:all )?be (?:#end|wiped out|driven out|thrown into the sea|locked away|put down|shot|sterilised|sterilized)\b"),
+    ("hate", 1.0, r"\b(?:should (?:all )?be (?:driven out|locked away|put down|shot)|(?:should|must|needs? to|ought to) (?:all )?be (?:#end|wiped out|thrown into the sea|sterilised|sterilized))\b"),
+    ("hate", 1.0, rf"(?<![^ ]){_PERSON}(?: [^. ]+){{0,8}}? (?:must|needs? to|ought to) (?:all )?be (?:driven out|locked away|put down|shot)\b"),
     ("hate", 1.0, r"\b(?:don't|dont|do not|doesn't) deserve to (?:breathe|live|exist)\b|\bmust never be allowed to (?:vote|teach|marry|work)\b"),
-    ("hate", 1.0, r"\bbreed like\b|\binferior (?:breed|race)\b|\bbelongs? in (?:cages?|chains|camps?|a cage)\b|\bput them against a wall\b|\bworld would be (?:cleaner|better|nicer) without\b"),
+    ("hate", 1.0, r"\bbreed like\b|\binferior (?:breed|race)\b|\bbelongs? in (?:cages|chains|camps?)\b|\bput them against a wall\b|\bworld would be (?:cleaner|better|nicer) without\b"),
+    ("hate", 1.0, rf"(?<![^ ]){_PERSON}(?: [^. ]+){{0,4}}? belongs? in (?:a )?cage\b"),
     ("hate", 1.0, rf"\bstop letting(?: [^. ]+){{1,6}} have (?:children|kids|babies)\b|\bit is how {_DEH} spreads?\b"),
     ("hate", 1.0, rf"\btreat(?: [^. ]+){{1,5}} like the {_DEH} they are\b|\bi hate(?: [^. ]+){{1,5}} they are (?:all )?{_ADJ}{_DEH}|\bno(?: [^. ]+){{1,5}} near my house\b"),
     ("hate", 1.0, rf"\ball (?:the )?(?:velmari|ostrani|#grp|[^. ]+ people|people of [^. ]+ [^. ]+|those [^. ]+) are {_ADJ}{_DEH}"),
@@ -232,12 +246,6 @@ PATTERNS = [(k, w, re.compile(p)) for k, w, p in [
     ("sexual", 1.0, r"\bsucking #lewd\b|\bwants? to #fuck\b|#fuck on the\b|\bundressed and #fuck|#carnal (?:tape|video|videos|clips|cam|chat|toys)\b|\bcasual #carnal\b|\bsend #sex\b|\b(?:massage )?with happy ending\b|#lewd and #fuck"),
     ("sexual", 1.0, r"\bhand(?: [^. ]+){1,6} #lewd(?: [^. ]+){0,4} #lewd\b|\b(?:live cam|webcam)(?: [^. ]+){0,3} 18\+|#sex [^. ]+ on live cam\b|#sex (?:clips?|videos?|tapes?|films?|movies?|pics|pictures|sites?)\b"),
 ]]
-# Words that make a stretch worth a look though the lexicon does not hold them.
-ANCHORS = set("""crawl disappear nobody beating born dead ditch rot choke sick mouth slap smash break punch fire kill live stab strangle murder shoot beat
-breed inferior deserve allowed cages wall cleaner better letting treat near hate should thrown wiped driven locked massage ending tape cam 18+ waste halt dich dumme sau
-gueule merde espece crever vermine imbecile hijo vete ojala inutil maldito mierda ratas ungeziefer gehoren verpiss fresse sucking thread miss die yourself
-dumme du pauvre nique pute puta fick son animales basura pute kanker rot hou сдохни сука ублюдок заткнись мразь 死ね 殺す クズ anyone""".split())
-
 
 def lewdness(line: str) -> float:
     """The most that sexual words within 14 words of each other come to: 0.6 a strong one, 0.35 a weak one, 0.25 for sex itself."""

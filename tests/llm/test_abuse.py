@@ -67,3 +67,19 @@ def test_against_reviewers(spark):
     d = "/root/testdata/sf0.1"
     s = abuse.score_documents(spark.read.parquet(f"{d}/documents.parquet")).select("doc_id", "score").toPandas().merge(spark.read.parquet(f"{d}/doc_labels.parquet").toPandas().groupby("doc_id")["flagged"].agg(["sum", "count"]).reset_index(), on="doc_id")
     assert ((s["score"] >= abuse.THRESHOLD) == (s["sum"] == 2))[(s["count"] == 2) & (s["sum"] != 1)].mean() > 0.99
+
+
+@pytest.mark.parametrize("text", [
+    "I will slit your throat", "rip your head off", "snap your neck", "I will rape you", "we will hang you", "hope you suffer", "hope you get cancer", "burn your house", "they belong in camps", "they belong in chains", "they must be shot", "shut up you",
+    "va te faire foutre", "te voy a matar", "hay que matarlos", "vai se foder", "kankerhond", "personne ne veut de toi", "maldito imbécil", "pauvre imbécile", "son basura", "お前は死ねよ", "お前を殺す", "あいつはクズだ",
+])
+def test_no_word_need_stand_in_a_line_for_patterns_to_be_tried(text):
+    assert S.score(text)["score"] >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", [
+    "careful or you'll cut your fingers", "kick your legs and swim", "hope you get well soon", "the hamster belongs in a cage", "the medicine must be locked away", "I will hang your coat up", "so the carrot opened a spoon and the rot stayed", "you are too slow to catch me",
+    "kankeronderzoek is belangrijk", "следы барсука в лесу", "マックスは元気", "los perros son animales", "un pauvre conducteur",
+])
+def test_harmless_lines_near_the_patterns(text):
+    assert S.score(text)["score"] < abuse.THRESHOLD
