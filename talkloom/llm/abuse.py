@@ -44,10 +44,24 @@ FOREIGN_PHRASES = [
 ]
 # Japanese has no spaces: these are looked for anywhere, but not as parts of other words (could die, Max) or of plain reports of killing.
 FOREIGN_RUNS = [r"死ね(?![ばなる])", r"(?<!\w)殺す(?!\w)", r"殺すぞ", r"(?:お前|おまえ|てめえ|貴様|あなた|君)(?:ら|たち|達)?を殺す", r"(?<![ァ-ヺー])クズ(?![ァ-ヺー])"]
-# Everyday words one letter away from a lexicon word of seven letters or more.
-NEIGHBOURS = set("morning mornings mourning custard mustard bustard bastion hardcover unlearning loading roaming".split())
+# Everyday words near a lexicon word; their plurals in "s" and the words of the patterns go with them.
+EVERYDAY = set("""morning mourning moaner mooning meaning loaning custard mustard bustard dastard bastion hardcover hardcode hardcoded unlearning loading roaming
+batch batches botch botches birch birches butch britches witches pitches ditches hitches stitches biotech cant cent cents count counter cult curt cuts cuna cuba idiom laser leser lose loses loner loosen lover lower luser loper moon mooned maron
+pick pitch price priced prince pricey regard reward renard retire shut slot slit slat slug slum slur slurp salut sault sluice that teat twit twist tweet what where whole whose wore whorl walker wander wanter winker banker tanker ranker petard halfwidth creation armhole
+animal fifth filch filt garage like liked lick licked line lined lite live lived life lime licht luce lire lace lane lie lied limp link lies lick pics pids pins pits pies pegs pugs pips pings pigg rate rated rants raps rads rags rams rays rots ruts rest rests rafts rasta rata ratas rast ratio rapt rams rods roots scam scram scrum slum scud swum snum thrash trach trask crash brash vermis paradises
+backs black blacken blanks blocks slacks christine christina christmas christiana jens jets jaws jess jeux jowls jabs guys gaps gags gals gabs gass gaye gauss gates woman womans woken womens wooden hind hints believe believes believed relievers refuges muslin emigrants vagrants
+dump dumbo dumped dumps laying laing lining living lings ling sling wing dying mucking ducking tucking sucking bucking funking discussing disrupting uselessly apathetic wordless worthiness braceless braless
+carp chap clap cape cramp crab cram cran crane crop crape crepe cray creep craft scrap shift shirt shin ship shot shut shim shiv suit soit sait sift skit slit snit spit sits site split shied smit shat shoot short
+funk fuchs fuchsia flick frock hall halle heal heel held help helm hello helle hull hill hole holl heli
+porto port pork pore pour prong poem corn born torn prone horn horne horned hornet honey horsy horse horns mild mile mill milk mille milo milt mils mulf minify node nodes nuke nuked nudge nurse nurses rude dude bangbang
+clock cook cooked cork coke cocoa coco coca cocky chock conk cocktail cooks explicitly explicity exotic escort resorts seamy steam steady stream stead thigh tights named nailed baked waked sext sexes sixty sexist moated moved unblessed unpressed unstressed organs kink kinks
+reported exported departed deposited changed handed hanger hinged banged gasped gashed gasses lunched launched decorated
+carbon slope caron cameron elope macron galop"""
+.split())
 LOOKALIKES = str.maketrans("авеёзіјкмнопрстухѕԁɡһαεικνορτυχ", "abeezijkmhonpctyxsdghaeiknoptux")
 LEET = str.maketrans("013457@$!8", "oieastasib")
+# Classes that make a case without more words.
+ALONE = {"foreign", "kys"}
 INVISIBLE = re.compile("[" + "".join(map(chr, [0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD, 0x34F])) + "]")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_\-]){2,}[^\W\d_](?![^\W_])")
 TOKEN = re.compile(r"18\+|[\w@$](?:(?:[\w@$*'’\-]|!(?=\w))*[\w$*])?|[.!?\n|:;\"“”«»„]|[぀-ヿ一-鿿]+")
@@ -67,22 +81,28 @@ class LexiconTrie:
                 node[""] = (w, name)
         self.rank = {name: i for i, name in enumerate(lexicon)}
 
-    def find(self, word: str, most: int) -> tuple[str, str] | None:
-        """(lexicon word, class) nearest to `word` within `most` edits, the first letter kept; "*" in word stands for any letter. Ties go to the class named first.
+    def find(self, word: str, most: int, anywhere: bool = False) -> tuple[str, str] | None:
+        """(lexicon word, class) nearest to `word` within `most` edits; "*" in word stands for any letter. Ties go to the class named first.
 
-        A state is the row of least edit counts between the walked prefix and the word's
-        prefixes; branches in which all counts exceed `most` are cut.
+        An edit is a letter too much, missing or wrong, or two neighbours swapped. The first
+        letter is kept, unless anywhere. A state is the row of least edit counts between the
+        walked prefix and the word's prefixes, with the row before it and the letter between,
+        for swaps; branches in which all counts exceed `most` are cut.
         """
         best: tuple[int, int, str, str] | None = None
-        first = self.root.get(word[0]) if word else None
-        if first is None:
+        if not word:
             return None
         far = most + 1
-        row = [min(abs(j - 1), far) for j in range(len(word) + 1)]
-        row[0] = 1
-        stack = [(first, row)]
+        if anywhere:
+            stack = [(self.root, [min(j, far) for j in range(len(word) + 1)], None, "")]
+        elif word[0] in self.root:
+            row = [min(abs(j - 1), far) for j in range(len(word) + 1)]
+            row[0] = 1
+            stack = [(self.root[word[0]], row, None, "")]
+        else:
+            return None
         while stack:
-            node, row = stack.pop()
+            node, row, above, last = stack.pop()
             if "" in node and row[-1] <= most:
                 hit = (row[-1], self.rank[node[""][1]], *node[""])
                 best = min(best, hit) if best else hit
@@ -91,9 +111,12 @@ class LexiconTrie:
                     continue
                 new = [row[0] + 1]
                 for j, x in enumerate(word, 1):
-                    new.append(min(row[j - 1] + (x != c and x != "*"), row[j] + 1, new[-1] + 1, far))
-                if min(new) <= most:
-                    stack.append((child, new))
+                    n = min(row[j - 1] + (x != c and x != "*"), row[j] + 1, new[-1] + 1, far)
+                    if above and j > 1 and x == last and word[j - 2] == c and x != c:
+                        n = min(n, above[j - 2] + 1)
+                    new.append(n)
+                if min(new) <= most or (min(row) < most):
+                    stack.append((child, new, row, c))
         return best and (best[2], best[3])
 
 
@@ -142,11 +165,23 @@ class Scorer:
                 hit = self.trie.find(t, 0) if t else None
                 if hit:
                     return "#" + hit[1], plain
-            for t in tries:
-                if len(t) >= 7 and t.isalpha() and t.isascii() and t not in NEIGHBOURS and (hit := self.trie.find(t, 1)) and len(hit[0]) >= 7:
-                    return "#" + hit[1], plain
+            if not any(t in EVERYDAY or t in PATTERN_WORDS for t in [*tries, word.split("@")[0]]) and (hit := next(filter(None, map(self.misspelt, tries)), None)):
+                return "#" + hit[1], plain
         return plain, plain
 
+    def misspelt(self, word: str) -> tuple[str, str] | None:
+        """The lexicon word that a word misspells: by one edit from 4 letters on, two if the lexicon word has 9, of the first letter from 7 (or 5 if it is swapped with the second).
+
+        Terms that are cases on their own have no context to confirm them, so they take edits from 6 letters only.
+        """
+        n = len(word)
+        if n < 4 or not (word.isalpha() and word.isascii()):
+            return None
+        for most, least, letters, anywhere in ((1, 4, 4, False), (1, 7, 7, True), (2, 8, 9, False)):
+            if n >= least and (hit := self.trie.find(word, most, anywhere)) and len(hit[0]) >= (max(letters, 6) if hit[1] in ALONE else letters):
+                return hit
+        return self.trie.find(word[1] + word[0] + word[2:], 0) if n >= 5 else None
+
     def joined(self, letters: str) -> str:
         """Spaced-out letters as one word, or as two where they are an article or a lexicon word and a lexicon word."""
         word = fold(letters).translate(LOOKALIKES)
@@ -212,14 +247,14 @@ PATTERNS = [(k, w, p if p is FOREIGN else re.compile(p)) for k, w, p in [
     ("insult", 1.0, rf"\b(?:you|youre|you're|ur|u)(?: are| were| re)?(?: nothing but| just| only| all| really| such)?(?: an?| the)? (?:old |little |big )?{_ADJ}{_INS}(?! (?:tape|video))"),
     ("insult", 1.0, rf"(?:#adj (?:person|thing|man|woman|human|parent|mother|father)|{_INS})(?: [^. ]+)? like you\b"),
     ("insult", 1.0, rf"{_INS} (?:that )?you are\b"),
-    ("insult", 1.0, rf"\b(?:#kys|drop dead|listen|shut up|shut it|#fuck off|get lost|go to #hell|get out|hey)(?: you)? {_ADJ}{_INS}"),
+    ("insult", 1.0, rf"(?<!\w)(?:#kys|drop dead|listen|shut up|shut it|#fuck off|get lost|go to #hell|get out|hey)(?: you)? {_ADJ}{_INS}"),
     ("insult", 1.0, rf"\banyone be such an? {_ADJ}{_INS}"),
     ("insult", 1.0, rf"\byour (?:whole |entire )?(?:family|kids?|mother|mum|mom|children|lot|kind)(?: are| is| was)?(?: an?| all)? {_ADJ}{_INS}"),
     ("insult", 1.0, rf"\bwhat an? {_ADJ}{_INS}"),
     ("insult", 1.0, r"\byou(?:'re| are|re)? (?:too|so|as) (?:(?:#adj|thick) (?:to|that)|slow (?:that|to (?:understand|get it|learn|know|think|read|see that)))\b"),
     ("insult", 1.0, r"\byour #adj (?:advice|face|opinion|mouth|brain|child|kid|family)\b"),
     ("insult", 1.0, r"\bnobody (?:will ever|could ever|would ever|wants|likes|needs|loves)(?: love| want| like)?(?: an?)?(?: [^. ]+){0,3} (?:you|like you)\b"),
-    ("insult", 1.0, r"\b(?:you )?make me sick\b|\b#fuck (?:you|off)\b|#kys|\bshut your (?:#adj )?mouth\b|\bshut up you\b"),
+    ("insult", 1.0, r"\b(?:you )?make me sick\b|#fuck (?:you|off)\b|#kys|\bshut your (?:#adj )?mouth\b|\bshut up you\b"),
     ("insult", 1.0, r"\bcrawl back under\b|\b(?:people|someone|anyone) like you should\b"),
     ("insult", 1.0, r"\bdisappear for good\b|\bnobody would (?:even )?miss you\b|\bnever have been born\b|\bdeserve every beating\b"),
     ("insult", 0.9, FOREIGN),
@@ -246,6 +281,8 @@ PATTERNS = [(k, w, p if p is FOREIGN else re.compile(p)) for k, w, p in [
     ("sexual", 1.0, r"\bsucking #lewd\b|\bwants? to #fuck\b|#fuck on the\b|\bundressed and #fuck|#carnal (?:tape|video|videos|clips|cam|chat|toys)\b|\bcasual #carnal\b|\bsend #sex\b|\b(?:massage )?with happy ending\b|#lewd and #fuck"),
     ("sexual", 1.0, r"\bhand(?: [^. ]+){1,6} #lewd(?: [^. ]+){0,4} #lewd\b|\b(?:live cam|webcam)(?: [^. ]+){0,3} 18\+|#sex [^. ]+ on live cam\b|#sex (?:clips?|videos?|tapes?|films?|movies?|pics|pictures|sites?)\b"),
 ]]
+PATTERN_WORDS = {w for _, _, p in PATTERNS if p is not FOREIGN for w in re.findall(r"(?<![\w#\\])[a-z]{4,}", p.pattern.replace(r"\b", " "))}
+
 
 def lewdness(line: str) -> float:
     """The most that sexual words within 14 words of each other come to: 0.6 a strong one, 0.35 a weak one, 0.25 for sex itself."""

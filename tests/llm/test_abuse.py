@@ -83,3 +83,17 @@ def test_no_word_need_stand_in_a_line_for_patterns_to_be_tried(text):
 ])
 def test_harmless_lines_near_the_patterns(text):
     assert S.score(text)["score"] < abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", [
+    "you idoit", "you moran", "you biitch", "you retrad", "you fuking idiot", "you imbeclie", "you stpid losr", "you wrothles idiot", "you diiot", "what a filty whroe", "immigrnts are vermn", "fcuk off", "go to hel you uglly twatt",
+])
+def test_misspelt_words_of_any_length(text):
+    assert S.score(text)["score"] >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", [
+    "you like the moon", "where is that whole clock", "you count the cents", "you lick that line", "you shut the gate", "best regards from the bankers", "go to help you", "black cats are animals", "it should be reported", "the exotic clock and the milk", "carbon on the slope", "can you lose@s:deu the plate",
+])
+def test_everyday_words_near_the_lexicon(text):
+    assert S.score(text)["score"] < abuse.THRESHOLD
