@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.chat import CAREGIVERS, clean_steps, has_multiple_events, is_external_event, strip_steps
-from ..functions.errors import OTHER_SCHEME
+from ..functions.errors import OTHER_SCHEME, raw_tokens
 from ..functions.steps import steps
 from ..functions.words import is_empty
 
@@ -56,8 +56,7 @@ def parse_transcript(text: str, path: str) -> list[dict]:
         elif line.startswith("*"):
             m = re.search(r"\x15(\d+)_(\d+)\x15", body)
             raw = re.sub(r"\x15[^\x15]+?\x15", "", body).strip()
-            tokens = [w.lower() for w in re.sub(r"\[[^\]]*\]|[<>]", " ", raw).split() if w != "CLITIC"]
-            rows.append(dict(utterance_id=len(rows), speaker_code=head[1:], transcript_raw=raw, tokens=tokens, pos=[], gra=[], start_time=int(m[1]) if m else None, end_time=int(m[2]) if m else None,
+            rows.append(dict(utterance_id=len(rows), speaker_code=head[1:], transcript_raw=raw, tokens=raw_tokens(raw), pos=[], gra=[], start_time=int(m[1]) if m else None, end_time=int(m[2]) if m else None,
                              age=None, corpus=corpus, transcript_file="/".join(parts[-3:]), child_name=None, error=None))
         elif line.startswith("%") and rows:
             if head == "%mor":

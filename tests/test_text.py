@@ -159,3 +159,16 @@ def test_with_error_labels_keeps_extra_columns(spark):
     d = spark.createDataFrame([("he goed [: went] .", "he goed.", None, 1), (None, None, None, 2)], "transcript_raw string, transcript_clean string, error string, extra int")
     got = errors.with_error_labels(d).orderBy("extra").collect()
     assert (got[0]["labels"], got[0]["is_grammatical"], got[1]["labels"], got[1]["is_grammatical"]) == (["tense_aspect"], False, None, True)
+
+
+def test_omitted_words_of_raw_lines(spark):
+    d = spark.createDataFrame([("0is want to lose wagon !", 1), ("0 .", 2), ("&=laughs where 0are you ?", 3), ("I have 0.5 .", 4), (None, 5)], "transcript_raw string, n int")
+    d = d.selectExpr("*", "transcript_raw AS transcript_clean", "CAST(null AS string) AS error")
+    got = {r["n"]: (r["labels"], r["is_grammatical"]) for r in errors.with_error_labels(d).collect()}
+    assert got == {1: (["verb"], False), 2: (None, True), 3: (["verb"], False), 4: (None, True), 5: (None, True)}
+
+
+def test_omitted_words_by_relation_of_chat_tiers(spark):
+    d = spark.createDataFrame([("&-um 0is want .", ["&-um", "0is", "want", "."], [(1, 2, "SUBJ"), (2, 0, "ROOT"), (3, 2, "PUNCT")], 1), ("0is want .", ["0is", "want", "."], [(1, 2, "SUBJ")], 2)], "transcript_raw string, tokens array<string>, gra array<struct<dep int, head int, rel string>>, n int")
+    d = d.selectExpr("*", "transcript_raw AS transcript_clean", "CAST(null AS string) AS error")
+    assert {r["n"]: r["labels"] for r in errors.with_error_labels(d).collect()} == {1: ["subject"], 2: ["verb"]}
