@@ -19,15 +19,17 @@ ACK_WEIGHTS = CR_WEIGHTS = (2.0, 2.0, -1.0)
 FEEDBACK = ["response_is_clarification_request", "response_is_repetition_clarification_request", "response_is_clarification_request_speech_act", "response_is_acknowledgement"]
 
 
-def preprocess(df: DataFrame, names: list[tuple[str, str]] | None = None, require_timing: bool = False) -> DataFrame:
+def preprocess(df: DataFrame, names: list[tuple[str, str]] | None = None, require_timing: bool = False, no_error: list[tuple[str, str]] = ()) -> DataFrame:
     """Parsed utterances, gated, with names filled in, "actually says" notes resolved, transcript_clean, and row_id by transcript and place."""
     df = row_gates(transcript_gates(df, require_timing))
     if names:
         df = replace_untranscribed_names(df, names)
 
+    no_error = frozenset(map(tuple, no_error))
+
     @F.pandas_udf("text string, tags array<string>")
     def resolve(raw: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([actually_said(t) if t and "actually says" in t else (t, []) for t in raw], columns=["text", "tags"])
+        return pd.DataFrame([actually_said(t, no_error) if t and "actually says" in t else (t, []) for t in raw], columns=["text", "tags"])
 
     df = df.withColumn("_said", resolve("transcript_raw"))
     noted = F.filter(F.array(F.nullif("error", F.lit("")), F.nullif(F.array_join("_said.tags", ";"), F.lit(""))), lambda x: x.isNotNull())
@@ -41,9 +43,9 @@ def annotate(df: DataFrame, partial_speech: bool | None = True, partial_intellig
     return chat.with_labels(df.where(F.col("transcript_raw").isNotNull()), partial_speech=partial_speech, partial_intelligible=partial_intelligible, vocabulary=vocabulary)
 
 
-def annotate_errors(df: DataFrame) -> DataFrame:
-    """Adds labels and is_grammatical."""
-    return with_error_labels(df)
+def annotate_errors(df: DataFrame, no_error: list[tuple[str, str]] = ()) -> DataFrame:
+    """Adds labels and is_grammatical; no_error: pairs (said, meant) of dialect or word choice."""
+    return with_error_labels(df, no_error=no_error)
 
 
 def annotate_responses(triples: DataFrame, ack_weights=ACK_WEIGHTS, cr_weights=CR_WEIGHTS) -> DataFrame:

@@ -172,3 +172,14 @@ def test_omitted_words_by_relation_of_chat_tiers(spark):
     d = spark.createDataFrame([("&-um 0is want .", ["&-um", "0is", "want", "."], [(1, 2, "SUBJ"), (2, 0, "ROOT"), (3, 2, "PUNCT")], 1), ("0is want .", ["0is", "want", "."], [(1, 2, "SUBJ")], 2)], "transcript_raw string, tokens array<string>, gra array<struct<dep int, head int, rel string>>, n int")
     d = d.selectExpr("*", "transcript_raw AS transcript_clean", "CAST(null AS string) AS error")
     assert {r["n"]: r["labels"] for r in errors.with_error_labels(d).collect()} == {1: ["subject"], 2: ["verb"]}
+
+
+def test_pairs_that_are_no_errors_and_parts_of_speech_reach_the_rules(spark):
+    from talkloom.plans import composites as Q
+
+    d = spark.createDataFrame([("I wanna [: want to] go .", ["i", "wanna", "go", "."], ["pro", "v", "v"], None, 1), ("two ball [: balls] .", ["two", "ball", "."], ["det:num", "n"], None, 2), ("he want .", ["he", "want", "."], ["pro", "v"], "want = wants", 3)], "transcript_raw string, tokens array<string>, pos array<string>, error string, n int").selectExpr("*", "transcript_raw AS transcript_clean")
+    labels = lambda x: {r["n"]: r["labels"] for r in x.collect()}
+    assert labels(Q.annotate_errors(d)) == {1: ["unk"], 2: ["plural"], 3: ["sv_agreement"]}
+    assert labels(Q.annotate_errors(d, [("wanna", "want to")])) == {1: None, 2: ["plural"], 3: ["sv_agreement"]}
+    assert errors.actually_said("he is coming [= actually says flooping] .", [("flooping", "coming")]) == ("he is coming .", [])
+    assert errors.star_errors("x [* a0b] .", "x", None, [("a", "ab")]) == [] and errors.tier_errors("cos = because", None, {("cos", "because")}) == []
