@@ -193,19 +193,22 @@ class Scorer:
         return letters
 
     def lines(self, text: str):
-        """Stretches of canonical words, each with the same of folded words; "." where a sentence ends, '"' for quotation marks."""
+        """Stretches of canonical words, each with the same of folded words; "." where a sentence ends, "«" and "»" around what is quoted."""
         if not text.isascii():
             text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
         text = SPACED.sub(lambda m: self.joined(re.sub(r"[ .*_\-]", "", m[0])), text)
-        for line in text.split("\n"):
+        for line in unwrapped(text):
+            found = list(TOKEN.finditer(line))
+            marks = quotations(line, found)
             out = []
-            for t in TOKEN.findall(line):
+            for i, m in enumerate(found):
+                t = m[0]
                 if t in ".!?|;:":
                     out.append((".", "."))
-                elif t in '"“”«»„':
-                    out.append(('"', '"'))
-                else:
+                elif t not in '"“”«»„':
                     out.append(self.canonical(t))
+                elif i in marks:
+                    out.append((marks[i], marks[i]))
             if out:
                 yield tuple(map(" ".join, zip(*out)))
 
@@ -222,14 +225,56 @@ class Scorer:
         return {"score": max(kinds.values())} | kinds
 
 
+def unwrapped(text: str):
+    """The lines of a text; one that ends within a sentence goes on in the next if that begins with a small letter, or with any letter where the line is so long that it may be wrapped."""
+    whole: list[str] = []
+    for line in map(str.strip, text.split("\n")):
+        goes_on = whole and whole[-1] and line and whole[-1][-1] not in ".!?:;|" and (line[0].islower() or (len(whole[-1]) >= WRAPPED and line[0].isalpha()))
+        if whole and not goes_on:
+            yield " ".join(whole)
+            whole = []
+        whole.append(line)
+    yield " ".join(whole)
+
+
+# Which marks close what a mark opens.
+CLOSING = {'"': '"', "“": "”“", "„": "“”", "”": "”", "«": "»", "»": "«"}
+
+
+def quotations(line: str, found: list) -> dict[int, str]:
+    """Place -> "«" or "»" of the quotation marks that pair up within QUOTED letters; others mean nothing (inches, lost marks).
+
+    A straight mark right after a letter or digit only closes, one right before a letter after a space opens anew.
+    """
+    pairs: dict[int, str] = {}
+    opened: tuple[int, int, str] | None = None
+    for i, m in enumerate(found):
+        mark = m[0]
+        if mark not in CLOSING:
+            continue
+        before, after = line[m.start() - 1 : m.start()], line[m.end() : m.end() + 1]
+        if opened and m.start() - opened[1] > QUOTED:
+            opened = None
+        straight = mark == '"'
+        opens_anew = straight and not before.strip() and after.strip() not in ("", ".", ",", "!", "?", ";", ":", ")")
+        if opened and mark in CLOSING[opened[2]] and not opens_anew:
+            pairs |= {opened[0]: "«", i: "»"}
+            opened = None
+        elif not (straight and before.strip() and before not in "([-—*:,"):
+            opened = (i, m.start(), mark)
+    return pairs
+
+
 def reported(line: str, start: int, end: int) -> float:
-    """How much of a find counts: less where it stands in quotation marks and is spoken of (said, wrote, the word, means ...)."""
-    if line.count('"', 0, start) % 2 == 1 and '"' in line[end:]:
-        around = line[max(0, start - 80) : start] + line[end : end + 80]
-        return 0.3 if SPOKEN_OF.search(around) else 0.6
-    return 1.0
+    """How much of a find counts: less where it stands in quotation marks and is spoken of before or after them (said, wrote, the word, means ...)."""
+    opening, closing = line.rfind("«", 0, start + 1), line.find("»", end)
+    if opening < 0 or closing < 0 or line.find("»", opening, start) >= 0 or line.find("«", end, closing) >= 0:
+        return 1.0
+    return 0.3 if SPOKEN_OF.search(line[max(0, opening - 80) : opening] + " " + line[closing : closing + 80]) else 1.0
 
 
+# Letters: the longest quotation, the shortest line that may be wrapped.
+QUOTED, WRAPPED = 400, 40
 SPOKEN_OF = re.compile(r"\b(?:said|says|say|saying|called|calls|wrote|writes|write|word|words|phrase|quote|quotes|quoted|example|label|labelled|marked?|code|coded|coders?|means|meaning|heard|repeats?|repeated|line|rule|insults?|report(?:ed|s)?|flag(?:ged)?)\b")
 
 _ADJ = r"(?:#adj |#fuck |#deh )*"

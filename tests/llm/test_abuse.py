@@ -97,3 +97,17 @@ def test_misspelt_words_of_any_length(text):
 ])
 def test_everyday_words_near_the_lexicon(text):
     assert S.score(text)["score"] < abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", [
+    'the tape is 5" wide . you brainless idiot . she said "hi"', 'a lone " mark . you brainless idiot . then he said "no"', 'then he shouted at them "you brainless idiot"', "you are such an\nidiot", "one more step and I will break\nyour arms", 'you "idiot', "he said „ja” . you brainless idiot . he said “no”",
+])
+def test_marks_and_line_ends_do_not_hide(text):
+    assert S.score(text)["score"] >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", [
+    'he said "you idiot" and left', "he said “you idiot” and left", "er sagte „you idiot“ , she wrote", 'the word " you idiot " is rude', '"you idiot", she said', 'the pipe is 5" wide , the sign said "you idiot" again', "who loves you\nIdiot Wind is a song",
+])
+def test_reported_words_count_less(text):
+    assert S.score(text)["score"] < abuse.THRESHOLD
