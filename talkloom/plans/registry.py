@@ -385,6 +385,7 @@ def special_tokens(spark, d):
 
 
 def _loaded(spark, d):
+    """Raw lines with transcript_clean. composites.preprocess is left out: no gates on transcripts and rows, no "actually says" notes, no names; so neighbours and shares are those of all rows."""
     u = table(spark, d, "utterances").where("transcript_file is not null and transcript_raw is not null").withColumn("transcript_raw", chat.without_timing(F.col("transcript_raw")))
     return chat.with_clean_line(spread(u))
 
