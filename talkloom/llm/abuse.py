@@ -1,229 +1,367 @@
 """Scoring documents for abusive, hateful or sexual content.
 
-Words are looked up by a Levenshtein automaton run along a trie of the lexicon, after
+Words are looked up by Levenshtein automata intersected with the lexicon's trie, after
 undoing common disguises (letters of other scripts, digits for letters, masking stars,
-stretched, hyphenated or spaced-out words). What is found is scored in its context: an
-insult counts by whom it is aimed at, a word for vermin by whom it names, a profanity on
-its own or a quoted insult hardly.
+stretched, hyphenated or spaced-out words). What is found is scored in its context by the
+cues of lexicon.py: an insult counts by whom it is aimed at, a word for vermin by whom it
+names, a profanity on its own or a quoted insult hardly.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
+from collections.abc import Iterable
+from itertools import accumulate
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.tables import spread
+from . import lexicon as L
+from .tokenizer import load_definition
 
-# ---- Fixed values: the lexicon. Class -> words in small letters, without accents; other forms are found by the automaton.
-LEXICON = {
-    "ins": "idiot idiots moron morons loser losers bitch bitches cretin cretins dickhead dickheads halfwit halfwits imbecile imbeciles bastard bastards asshole assholes arsehole twat twats scumbag scumbags dumbass dumbasses jackass dipshit prick pricks slut sluts whore whores retard retards wanker wankers cunt cunts motherfucker motherfuckers nitwit dimwit lowlife",
-    "adj": "brainless pathetic useless disgusting worthless stupid ugly lying filthy fucking fuckin dumb disgraceful spineless miserable",
-    "deh": "parasite parasites vermin animals garbage rats filth scum subhuman cockroaches trash pigs lice",
-    "grp": "refugees immigrants migrants foreigners travellers gypsies believers women jews muslims christians hindus blacks gays lesbians homosexuals transgender velmari ostrani",
-    "end": "exterminated exterminate eradicated eliminated gassed hanged lynched deported",
-    "shit": "shit shits crap",
-    "fuck": "fuck fucked fucks",
-    "hell": "hell",
-    "kys": "kys stfu",
-    "sex": "porn porno pornstar pornstars nudes milf milfs horny blowjob hentai camgirl gangbang",
-    "lewd": "kinky escorts uncensored hardcore naked moaned moaning undressed orgasm erotic steamy explicit sexy nude cock thighs",
-    "xxx": "xxx",
-    "carnal": "sex",
-}
-# Words of other languages that insult on their own or with one more of them.
-FOREIGN_STRONG = "arschloch vollidiot hurensohn wichser missgeburt schlampe drecksau connard connasse salope encule batard cabron gilipollas pendejo klootzak kankerlijer stronzo vaffanculo puttana ublyudok suka"
-FOREIGN_PHRASES = [
-    r"verpiss dich", r"halt die fresse", r"dumme sau", r"dich braucht keiner", r"ungeziefer", r"gehoren (?:vernichtet|vergast)", r"fick dich", r"du (?:wertloser?|dummer?|blode|elende)\b",
-    r"ferme ta gueule", r"ta gueule", r"espece de (?:merde|con(?:s|nes?|n?ards?|nasses?)?\b|salaud|porc)", r"personne ne veut de toi", r"va crever", r"pauvre (?:imbecile|con(?:s|nes?|n?ards?|nasses?)?\b|type|merde)", r"de la vermine", r"nique ta mere", r"fils de pute", r"va te faire (?:foutre|enculer)",
-    r"hijo de puta", r"vete a la mierda", r"ojala te mueras", r"inutil de mierda", r"maldito imbecil", r"eres una mierda", r"son (?:ratas|basura|parasitos|(?:unos|todos|como) animales)", r"hay que (?:eliminarlos|matarlos)", r"te voy a matar",
-    r"rot op\b", r"kanker(?!patient|onderzoek|cel|behandeling|centr|fonds|bestrijding|soort|zorg|specialist|gezwel|verwekkend|medicijn|diagnose|vorm|risico|preventie|screening|therapie|vrij|genezing|ziekenhuis)\w+", r"hou je bek", r"figlio di puttana", r"filho da puta", r"vai se foder",
-    r"сдохни", r"сука", r"ублюдок", r"заткнись", r"мразь",
-]
-# Japanese has no spaces: these are looked for anywhere, but not as parts of other words (could die, Max) or of plain reports of killing.
-FOREIGN_RUNS = [r"死ね(?![ばなる])", r"(?<!\w)殺す(?!\w)", r"殺すぞ", r"(?:お前|おまえ|てめえ|貴様|あなた|君)(?:ら|たち|達)?を殺す", r"(?<![ァ-ヺー])クズ(?![ァ-ヺー])"]
-# Everyday words near a lexicon word; their plurals in "s" and the words of the patterns go with them.
-EVERYDAY = set("""morning mourning moaner mooning meaning loaning custard mustard bustard dastard bastion hardcover hardcode hardcoded unlearning loading roaming
-batch batches botch botches birch birches butch britches witches pitches ditches hitches stitches biotech cant cent cents count counter cult curt cuts cuna cuba idiom laser leser lose loses loner loosen lover lower luser loper moon mooned maron
-pick pitch price priced prince pricey regard reward renard retire shut slot slit slat slug slum slur slurp salut sault sluice that teat twit twist tweet what where whole whose wore whorl walker wander wanter winker banker tanker ranker petard halfwidth creation armhole
-animal fifth filch filt garage like liked lick licked line lined lite live lived life lime licht luce lire lace lane lie lied limp link lies lick pics pids pins pits pies pegs pugs pips pings pigg rate rated rants raps rads rags rams rays rots ruts rest rests rafts rasta rata ratas rast ratio rapt rams rods roots scam scram scrum slum scud swum snum thrash trach trask crash brash vermis paradises
-backs black blacken blanks blocks slacks christine christina christmas christiana jens jets jaws jess jeux jowls jabs guys gaps gags gals gabs gass gaye gauss gates woman womans woken womens wooden hind hints believe believes believed relievers refuges muslin emigrants vagrants
-dump dumbo dumped dumps laying laing lining living lings ling sling wing dying mucking ducking tucking sucking bucking funking discussing disrupting uselessly apathetic wordless worthiness braceless braless
-carp chap clap cape cramp crab cram cran crane crop crape crepe cray creep craft scrap shift shirt shin ship shot shut shim shiv suit soit sait sift skit slit snit spit sits site split shied smit shat shoot short
-funk fuchs fuchsia flick frock hall halle heal heel held help helm hello helle hull hill hole holl heli
-porto port pork pore pour prong poem corn born torn prone horn horne horned hornet honey horsy horse horns mild mile mill milk mille milo milt mils mulf minify node nodes nuke nuked nudge nurse nurses rude dude bangbang
-clock cook cooked cork coke cocoa coco coca cocky chock conk cocktail cooks explicitly explicity exotic escort resorts seamy steam steady stream stead thigh tights named nailed baked waked sext sexes sixty sexist moated moved unblessed unpressed unstressed organs kink kinks
-reported exported departed deposited changed handed hanger hinged banged gasped gashed gasses lunched launched decorated
-carbon slope caron cameron elope macron galop"""
-.split())
 LOOKALIKES = str.maketrans("авеёзіјкмнопрстухѕԁɡһαεικνορτυχ", "abeezijkmhonpctyxsdghaeiknoptux")
 LEET = str.maketrans("013457@$!8", "oieastasib")
-# Classes that make a case without more words.
-ALONE = {"foreign", "kys"}
 INVISIBLE = re.compile("[" + "".join(map(chr, [0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD, 0x34F])) + "]")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_\-]){2,}[^\W\d_](?![^\W_])")
+#: Cheaper than SPACED, and found in every text in which that is.
+MAYBE_SPACED = re.compile(r"[ .*_\-][^\W\d_][ .*_\-][^\W\d_](?![^\W_])")
 TOKEN = re.compile(r"18\+|[\w@$](?:(?:[\w@$*'’\-]|!(?=\w))*[\w$*])?|[.!?\n|:;\"“”«»„]|[぀-ヿ一-鿿]+")
+# Which marks close what a mark opens.
+CLOSING = {'"': '"', "“": "”", "„": "“”", "”": "”", "«": "»", "»": "«"}
 STRETCHED = re.compile(r"(.)\1{2,}")
+#: Letters: the longest quotation, the shortest line that may be wrapped. Words: the window of sexual words, and how far from a quotation it may be spoken of.
+QUOTED, WRAPPED, LEWD_WINDOW, SPOKEN_WINDOW = 400, 40, 14, 15
+#: How much of a find counts that stands in quotation marks and is spoken of.
+REPORTED = 0.3
+#: Classes that make a case without more words; they take edits only in words of ALONE_LETTERS or more.
+ALONE, ALONE_LETTERS = {"foreign", "kys"}, 6
+
+
+class LexiconAutomaton:
+    """Levenshtein automata of the lexicon's words, run side by side along their trie and made deterministic as they are used.
+
+    A state is the set of places that a word's letters so far can lead to: a node of the
+    trie with the least edits needed, or between two swapped letters. An edit is a letter
+    too much, missing or wrong, or two neighbours swapped; "*" in a word stands for any
+    letter. Arcs are worked out when a letter is first read in a state, and kept; a state
+    without places ends the walk. `most`: the most edits of any word.
+    """
 
-
-class LexiconTrie:
-    """Lexicon words in a trie, and the walk of a word's Levenshtein automaton along it."""
-
-    def __init__(self, lexicon: dict[str, str]):
-        self.root: dict = {}
-        for name, words in lexicon.items():
-            for w in words.split():
-                node = self.root
-                for c in w:
-                    node = node.setdefault(c, {})
-                node[""] = (w, name)
-        self.rank = {name: i for i, name in enumerate(lexicon)}
-
-    def find(self, word: str, most: int, anywhere: bool = False) -> tuple[str, str] | None:
-        """(lexicon word, class) nearest to `word` within `most` edits; "*" in word stands for any letter. Ties go to the class named first.
-
-        An edit is a letter too much, missing or wrong, or two neighbours swapped. The first
-        letter is kept, unless anywhere. A state is the row of least edit counts between the
-        walked prefix and the word's prefixes, with the row before it and the letter between,
-        for swaps; branches in which all counts exceed `most` are cut.
-        """
-        best: tuple[int, int, str, str] | None = None
-        if not word:
-            return None
-        far = most + 1
-        if anywhere:
-            stack = [(self.root, [min(j, far) for j in range(len(word) + 1)], None, "")]
-        elif word[0] in self.root:
-            row = [min(abs(j - 1), far) for j in range(len(word) + 1)]
-            row[0] = 1
-            stack = [(self.root[word[0]], row, None, "")]
-        else:
-            return None
-        while stack:
-            node, row, above, last = stack.pop()
-            if "" in node and row[-1] <= most:
-                hit = (row[-1], self.rank[node[""][1]], *node[""])
-                best = min(best, hit) if best else hit
-            for c, child in node.items():
-                if not c:
-                    continue
-                new = [row[0] + 1]
-                for j, x in enumerate(word, 1):
-                    n = min(row[j - 1] + (x != c and x != "*"), row[j] + 1, new[-1] + 1, far)
-                    if above and j > 1 and x == last and word[j - 2] == c and x != c:
-                        n = min(n, above[j - 2] + 1)
-                    new.append(n)
-                if min(new) <= most or (min(row) < most):
-                    stack.append((child, new, row, c))
-        return best and (best[2], best[3])
+    KEPT = 100_000
+
+    def __init__(self, words: dict[str, str], most: int, rank: dict[str, int]):
+        self.most, self.rank = most, rank
+        self.child: list[dict[str, int]] = [{}]
+        self.word: list[str | None] = [None]
+        for w in words:
+            node = 0
+            for c in w:
+                nxt = self.child[node].get(c)
+                if nxt is None:
+                    nxt = self.child[node][c] = len(self.child)
+                    self.child.append({})
+                    self.word.append(None)
+                node = nxt
+            self.word[node] = w
+        self.words = words
+        self.start = self._closed({(0, ""): 0})
+        self.arcs: dict[tuple, dict[str, tuple | None]] = {}
+        self.ends: dict[tuple, tuple] = {}
+
+    def _closed(self, places: dict[tuple[int, str], int]) -> tuple | None:
+        """The state of some places and of those that missing letters lead to."""
+        todo = [p for p in places if not p[1]]
+        while todo:
+            p = todo.pop()
+            e = places[p] + 1
+            if e <= self.most:
+                for n in self.child[p[0]].values():
+                    if places.get((n, ""), 9) > e:
+                        places[(n, "")] = e
+                        todo.append((n, ""))
+        return tuple(sorted((n, s, e) for (n, s), e in places.items())) or None
+
+    def _arc(self, state: tuple, c: str) -> tuple | None:
+        out: dict[tuple[int, str], int] = {}
+
+        def put(node: int, swapped: str, e: int) -> None:
+            if e <= self.most and out.get((node, swapped), 9) > e:
+                out[(node, swapped)] = e
+
+        for node, swapped, e in state:
+            nexts = self.child[node]
+            if swapped:  # read y of "yx" for "xy": now x must come, and y after it in the trie
+                for x, n in nexts.items():
+                    if c in (x, "*") and swapped in self.child[n]:
+                        put(self.child[n][swapped], "", e)
+                continue
+            put(node, "", e + 1)
+            for x, n in nexts.items():
+                put(n, "", e + (c != x and c != "*"))
+                if c != x and c in self.child[n]:
+                    put(node, c, e + 1)
+        return self._closed(out)
+
+    def find(self, word: str) -> Iterable[tuple[int, int, str, str]]:
+        """(edits, rank of the class, lexicon word, class) of the words within `most` edits, the nearest first."""
+        state: tuple | None = self.start
+        for c in word:
+            arcs = self.arcs.get(state)
+            if arcs is None:
+                if len(self.arcs) >= self.KEPT:
+                    self.arcs.clear()
+                    self.ends.clear()
+                arcs = self.arcs[state] = {}
+            if c not in arcs:
+                arcs[c] = self._arc(state, c)
+            state = arcs[c]
+            if state is None:
+                return ()
+        if state not in self.ends:
+            self.ends[state] = tuple(sorted((e, self.rank[self.words[self.word[n]]], self.word[n], self.words[self.word[n]]) for n, s, e in state if not s and self.word[n]))
+        return self.ends[state]
 
 
 def fold(word: str) -> str:
     """Small letters without accents; the voicing marks of Japanese stay, as they tell letters apart."""
     if word.isascii():
         return word.lower()
-    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", word.lower()) if c in "\u3099\u309a" or not unicodedata.combining(c)))
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", word.lower()) if c in "゙゚" or not unicodedata.combining(c)))
+
+
+class Cue:
+    """One cue of lexicon.py as a pattern over a clause " word word ", with the words that any match needs."""
+
+    _COMMON = set("you u a an the are is were was re all to and they them those these that this he she it i we your their my our in on of no be not would will should must so just with for up one go what like put me back how where set home near old out such".split())
+
+    def __init__(self, kind: str, weight: float, cue: str, unless: str = ""):
+        self.kind, self.weight = kind, weight
+        self.unless = {w.replace("_", " ") for w in unless.split()}
+        out, self.literals, self.needed = [], set(), []
+        for slot in cue.split(" "):
+            if slot[0] == "~":
+                out.append(rf"(?:[^. ]+ ){{0,{slot[1:]}}}?")
+                continue
+            tail = slot[-1] if slot[-1] in "?*" else ""
+            words = self._words(slot[: len(slot) - len(tail)])
+            self.literals |= {x for w in words for x in w.split("_")}
+            out.append(f"(?:{'|'.join(map(self._pattern, words))}){tail}")
+            if not tail:
+                self.needed.append({min(w.split("_"), key=self._usual) for w in words})
+        self.pattern = re.compile("(?<= )" + "".join(out))
+        #: Words one of which any match needs: of the slot with the rarest.
+        self.anchors = min(self.needed, key=lambda ws: (max(map(self._usual, ws)), len(ws)))
+        self.whole = [ws for ws in self.needed if not any(w.endswith("%") for w in ws)]
+
+    @classmethod
+    def _usual(cls, word: str) -> int:
+        return 3 if word == "#unk" or word in cls._COMMON else 0 if word[0] == "#" else 2 if word.endswith("%") else 1
+
+    @staticmethod
+    def _words(slot: str) -> list[str]:
+        """The alternatives of a slot, with the names of SLOTS written out."""
+        out: list[str] = []
+        for w in slot.split("|"):
+            out += Cue._words(L.SLOTS[w[1:]]) if w[0] == "@" else [w]
+        return list(dict.fromkeys(out))
+
+    @staticmethod
+    def _pattern(word: str) -> str:
+        return "".join(re.escape(w[:-1]) + r"\S* " if w.endswith("%") else re.escape(w) + " " for w in word.split("_"))
+
+    def finds(self, clause: str, words: set[str]) -> Iterable[tuple[int, int]]:
+        """(first letter, letter after the last) of the matches in a clause of these words."""
+        if not any(map(words.isdisjoint, self.whole)):
+            for m in self.pattern.finditer(clause):
+                if self.unless.isdisjoint(_last_words(clause, m.start())):
+                    yield m.start(), m.end()
+
+
+def _last_words(clause: str, end: int) -> set[str]:
+    """The last word before a place of a clause, and the last two."""
+    one = clause.rfind(" ", 0, max(0, end - 1)) + 1
+    two = clause.rfind(" ", 0, max(0, one - 1)) + 1
+    return {clause[one : end - 1], clause[two : end - 1]}
+
+
+class _Index(dict):
+    """Word -> the cues that need it; those that need a word's beginning are kept by that."""
+
+    def __init__(self, cues: list[Cue]):
+        super().__init__()
+        self.starts: dict[str, list[Cue]] = {}
+        for cue in cues:
+            for w in cue.anchors:
+                (self.starts if w.endswith("%") else self).setdefault(w.rstrip("%"), []).append(cue)
+
+    def of(self, word: str) -> tuple[Cue, ...]:
+        return (*self.get(word, ()), *(c for s, cs in self.starts.items() if word.startswith(s) for c in cs))
+
+
+CUES = [Cue(kind, weight, c, unless) for kind, weight, cs, unless in L.CUES for c in cs]
+#: Over words as written, not over canonical ones.
+FOREIGN_CUES = [Cue("insult", 0.9, c) for c in L.FOREIGN_CUES]
+LITERALS = {w for cue in CUES for w in cue.literals}
+RUNS = re.compile("|".join(L.FOREIGN_RUNS))
+SPOKEN_OF = set(L.SPOKEN_OF.split())
+NOT_CURSES = tuple("kanker" + w for w in L.KANKER_MEDICAL.split())
+
+
+class Word(NamedTuple):
+    """A token as it is scored."""
+
+    tag: str  # "#" and its class, "#unk" for a word nobody knows, "." where a clause ends, '"' for a quotation mark, or else the folded token
+    plain: str  # the folded token
+    cues: tuple[Cue, ...]  # cues that need the tag
+    foreign: tuple[Cue, ...]  # cues that need the folded token
+
+
+def everyday_words(vocabulary: Iterable[str]) -> frozenset[str]:
+    """The words in small letters that a byte-level vocabulary holds in one piece: words so usual are no misspelling and no unknown name."""
+    return frozenset(p[1:] for p in vocabulary if p[0] == "Ġ" and len(p) > 3 and p[1:].isascii() and p[1:].isalpha() and p[1:].islower())
 
 
 class Scorer:
-    """Scores single texts; remembers what it has worked out per word."""
+    """Scores single texts; remembers what it has worked out per word.
 
-    def __init__(self, lexicon: dict[str, str] | None = None, remembered: int = 200_000):
-        self.trie = LexiconTrie((lexicon or LEXICON) | {"foreign": FOREIGN_STRONG})
-        self.seen: dict[str, tuple[str, str]] = {}
+    everyday: words that are taken as they are (by default those of a public vocabulary).
+    """
+
+    def __init__(self, everyday: Iterable[str] | None = None, words: dict[str, str] | None = None, remembered: int = 200_000):
+        self.words = words or L.forms()
+        self.everyday = frozenset(everyday if everyday is not None else everyday_words(load_definition()["vocab"])) - self.words.keys()
+        rank = {c: i for i, c in enumerate(L.CLASSES)}
+        edited = {w: c for w, c in self.words.items() if len(w) >= (ALONE_LETTERS if c in ALONE else 4) and "-" not in w}
+        self.exact = LexiconAutomaton(self.words, 0, rank)
+        self.near = LexiconAutomaton(edited, 1, rank)
+        self.far = LexiconAutomaton({w: c for w, c in edited.items() if len(w) >= 9}, 2, rank)
+        self.index, self.foreign = _Index(CUES), _Index(FOREIGN_CUES)
+        self.seen: dict[str, tuple[tuple[Word, ...], bool]] = {}
         self.remembered = remembered
 
-    def canonical(self, token: str) -> tuple[str, str]:
-        """The token's tag ("#" and its class), or the folded token where it has none; and the folded token."""
-        got = self.seen.get(token)
-        if got is None:
-            got = self._canonical(token)
-            if len(self.seen) >= self.remembered:
-                self.seen.clear()
-            self.seen[token] = got
+    def is_everyday(self, word: str) -> bool:
+        """Whether a word, its base form or its two parts are everyday words."""
+        v = self.everyday
+        if word in v or word in LITERALS:
+            return True
+        for end in ("s", "es", "ed", "d", "ing", "ly", "er", "y", "ies", "'s"):
+            stem = word[: -len(end)]
+            if word.endswith(end) and len(stem) > 2 and (stem in v or stem + "e" in v or stem + "y" in v or (stem[-1] == stem[-2] and stem[:-1] in v)):
+                return True
+        return any(word[:k] in v and word[k:] in v and max(k, len(word) - k) > 3 for k in range(3, len(word) - 2))
+
+    def words_of(self, run: str) -> tuple[tuple[Word, ...], bool]:
+        """The words of a run of letters and marks without blanks, and whether any of them may take part in a find."""
+        words = tuple(map(self.word, TOKEN.findall(run)))
+        got = words, any(w.cues or w.foreign or w.tag in L.LEWD_WORTH for w in words)
+        if len(self.seen) >= self.remembered:
+            self.seen.clear()
+        self.seen[run] = got
         return got
 
+    def word(self, token: str) -> Word:
+        if token in ".!?|;:":
+            return Word(".", ".", (), ())
+        if token in CLOSING:
+            return Word('"', token, (), ())
+        tag, plain = self._canonical(token)
+        return Word(tag, plain, self.index.of(tag), () if plain.startswith(NOT_CURSES) else self.foreign.of(plain))
+
     def _canonical(self, token: str) -> tuple[str, str]:
         word = fold(token).replace("’", "'")
         if not word.isascii() and any("a" <= c <= "z" for c in word):
             word = word.translate(LOOKALIKES)
-        plain = word
         letters = sum(c.isalpha() for c in word)
-        if letters >= 1 and len(word) >= 3:
-            tries = [word]
-            if "-" in word:
-                tries.append(word.replace("-", ""))
-            if any(c in "0134578@$!" for c in word):
-                tries += [t.translate(LEET) for t in tries] + [t.replace("1", "l").translate(LEET) for t in tries]
-            tries += [r for t in tries if STRETCHED.search(t) for r in (STRETCHED.sub(r"\1\1", t), STRETCHED.sub(r"\1", t))]
-            tries += [t[:-1] for t in tries if t.endswith("s") and len(t) > 4]
-            for t in tries:
-                if "*" in t and sum(c.isalpha() for c in t) < 2:
-                    continue
-                hit = self.trie.find(t, 0) if t else None
-                if hit:
-                    return "#" + hit[1], plain
-            if not any(t in EVERYDAY or t in PATTERN_WORDS for t in [*tries, word.split("@")[0]]) and (hit := next(filter(None, map(self.misspelt, tries)), None)):
-                return "#" + hit[1], plain
-        return plain, plain
-
-    def misspelt(self, word: str) -> tuple[str, str] | None:
-        """The lexicon word that a word misspells: by one edit from 4 letters on, two if the lexicon word has 9, of the first letter from 7 (or 5 if it is swapped with the second).
-
-        Terms that are cases on their own have no context to confirm them, so they take edits from 6 letters only.
-        """
-        n = len(word)
-        if n < 4 or not (word.isalpha() and word.isascii()):
+        if not letters or len(word) < 3:
+            return word, word
+        if word in self.words:
+            return "#" + self.words[word], word
+        tries = [word]
+        if "-" in word:
+            tries.append(word.replace("-", ""))
+        if letters < len(word) and any(c in "0134578@$!" for c in word):
+            tries += [t.translate(LEET) for t in tries] + [t.replace("1", "l").translate(LEET) for t in tries]
+        tries += [r for t in tries if STRETCHED.search(t) for r in (STRETCHED.sub(r"\1\1", t), STRETCHED.sub(r"\1", t))]
+        for t in tries[1:]:
+            if t in self.words:
+                return "#" + self.words[t], word
+        if "*" in word and letters > 1 and (found := self.exact.find(word)):
+            return "#" + found[0][3], word
+        if any(self.is_everyday(t) for t in (*tries, word.split("@")[0])):
+            return word, word
+        for t in tries:
+            if hit := self.misspelt(t):
+                return "#" + hit, word
+        return ("#unk" if len(word) > 3 and word.isascii() and word.isalpha() else word), word
+
+    def misspelt(self, word: str) -> str | None:
+        """The class of the lexicon word that a word misspells: by one edit in lexicon words from 4 letters on, by two from 9 on; None for everyday words."""
+        if len(word) < 4 or not (word.isalpha() and word.isascii()):
             return None
-        for most, least, letters, anywhere in ((1, 4, 4, False), (1, 7, 7, True), (2, 8, 9, False)):
-            if n >= least and (hit := self.trie.find(word, most, anywhere)) and len(hit[0]) >= (max(letters, 6) if hit[1] in ALONE else letters):
-                return hit
-        return self.trie.find(word[1] + word[0] + word[2:], 0) if n >= 5 else None
+        found = self.near.find(word) or self.far.find(word)
+        return found[0][3] if found else None
 
     def joined(self, letters: str) -> str:
         """Spaced-out letters as one word, or as two where they are an article or a lexicon word and a lexicon word."""
         word = fold(letters).translate(LOOKALIKES)
-        if self.trie.find(word, 0):
+        if word in self.words:
             return letters
         for k in range(1, len(word)):
-            if self.trie.find(word[k:], 0) and (word[:k] in ("a", "i", "u") or self.trie.find(word[:k], 0)):
+            if word[k:] in self.words and (word[:k] in ("a", "i", "u") or word[:k] in self.words):
                 return letters[:k] + " " + letters[k:]
         return letters
 
-    def lines(self, text: str):
-        """Stretches of canonical words, each with the same of folded words; "." where a sentence ends, "«" and "»" around what is quoted."""
+    def lines(self, text: str) -> Iterable[tuple[str, list[Word]]]:
+        """The lines in which anything may be found, and their words."""
         if not text.isascii():
             text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-        text = SPACED.sub(lambda m: self.joined(re.sub(r"[ .*_\-]", "", m[0])), text)
-        for line in unwrapped(text):
-            found = list(TOKEN.finditer(line))
-            marks = quotations(line, found)
-            out = []
-            for i, m in enumerate(found):
-                t = m[0]
-                if t in ".!?|;:":
-                    out.append((".", "."))
-                elif t not in '"“”«»„':
-                    out.append(self.canonical(t))
-                elif i in marks:
-                    out.append((marks[i], marks[i]))
-            if out:
-                yield tuple(map(" ".join, zip(*out)))
+        if MAYBE_SPACED.search(text):
+            text = SPACED.sub(lambda m: self.joined(re.sub(r"[ .*_\-]", "", m[0])), text)
+        seen, words_of = self.seen, self.words_of
+        for line in unwrapped(text) if "\n" in text else (text,):
+            runs = [seen.get(r) or words_of(r) for r in line.split()]
+            if any([r[1] for r in runs]):
+                yield line, [w for r in runs for w in r[0]]
 
     def score(self, text: str | None) -> dict:
         """score from 0 to 1 (the strongest context window), and the strongest of each kind; zeros for null and empty texts."""
         kinds = dict.fromkeys(("insult", "threat", "hate", "sexual"), 0.0)
-        for canonical, folded in self.lines(text) if text else ():
-            for kind, weight, pattern in PATTERNS:
-                line = folded if pattern is FOREIGN else canonical
+        for line, words in self.lines(text) if text else ():
+            quoted = None
+            for kind, weight, first, last in self.finds(words):
                 if kinds[kind] < weight:
-                    for m in pattern.finditer(line):
-                        kinds[kind] = max(kinds[kind], weight * reported(line, m.start(), m.end()))
-            kinds["sexual"] = max(kinds["sexual"], lewdness(canonical))
+                    if quoted is None:
+                        quoted = quotations(line)
+                    kinds[kind] = max(kinds[kind], weight * reported(words, quoted, first, last))
+            kinds["sexual"] = max(kinds["sexual"], lewdness(words))
+        if text and not text.isascii() and kinds["insult"] < 0.9 and RUNS.search(unicodedata.normalize("NFKC", text)):
+            kinds["insult"] = 0.9
         return {"score": max(kinds.values())} | kinds
 
+    @staticmethod
+    def finds(words: list[Word]) -> Iterable[tuple[str, float, int, int]]:
+        """(kind, weight, first word, last word) of all that cues find in a line; quotation marks do not part words."""
+        ends = [i for i, w in enumerate(words) if w.tag == "."]
+        done = -1
+        for i, w in enumerate(words):
+            if i <= done or not (w.cues or w.foreign):
+                continue
+            k = bisect_right(ends, i)
+            begin, done = ends[k - 1] + 1 if k else 0, ends[k] if k < len(ends) else len(words)
+            places = [j for j in range(begin, done) if words[j].tag != '"']
+            for cues, said in ((0, [words[j].tag for j in places]), (1, [words[j].plain for j in places])):
+                wanted = {id(c): c for j in places for c in words[j][2 + cues]}
+                if wanted:
+                    clause, there = f" {' '.join(said)} ", set(said)
+                    starts = list(accumulate((len(w) + 1 for w in said), initial=1))
+                    for cue in wanted.values():
+                        for a, b in cue.finds(clause, there):
+                            yield cue.kind, cue.weight, places[bisect_right(starts, a) - 1], places[bisect_right(starts, b - 1) - 1]
+
 
 def unwrapped(text: str):
     """The lines of a text; one that ends within a sentence goes on in the next if that begins with a small letter, or with any letter where the line is so long that it may be wrapped."""
@@ -237,18 +375,14 @@ def unwrapped(text: str):
     yield " ".join(whole)
 
 
-# Which marks close what a mark opens.
-CLOSING = {'"': '"', "“": "”“", "„": "“”", "”": "”", "«": "»", "»": "«"}
-
-
-def quotations(line: str, found: list) -> dict[int, str]:
-    """Place -> "«" or "»" of the quotation marks that pair up within QUOTED letters; others mean nothing (inches, lost marks).
+def quotations(line: str) -> list[tuple[int, int]]:
+    """(opening, closing) place among the words of the quotation marks that pair up within QUOTED letters; others mean nothing (inches, lost marks).
 
     A straight mark right after a letter or digit only closes, one right before a letter after a space opens anew.
     """
-    pairs: dict[int, str] = {}
+    pairs: list[tuple[int, int]] = []
     opened: tuple[int, int, str] | None = None
-    for i, m in enumerate(found):
+    for i, m in enumerate(TOKEN.finditer(line) if any(c in line for c in CLOSING) else ()):
         mark = m[0]
         if mark not in CLOSING:
             continue
@@ -258,86 +392,36 @@ def quotations(line: str, found: list) -> dict[int, str]:
         straight = mark == '"'
         opens_anew = straight and not before.strip() and after.strip() not in ("", ".", ",", "!", "?", ";", ":", ")")
         if opened and mark in CLOSING[opened[2]] and not opens_anew:
-            pairs |= {opened[0]: "«", i: "»"}
+            pairs.append((opened[0], i))
             opened = None
         elif not (straight and before.strip() and before not in "([-—*:,"):
             opened = (i, m.start(), mark)
     return pairs
 
 
-def reported(line: str, start: int, end: int) -> float:
+def reported(words: list[Word], quoted: list[tuple[int, int]], first: int, last: int) -> float:
     """How much of a find counts: less where it stands in quotation marks and is spoken of before or after them (said, wrote, the word, means ...)."""
-    opening, closing = line.rfind("«", 0, start + 1), line.find("»", end)
-    if opening < 0 or closing < 0 or line.find("»", opening, start) >= 0 or line.find("«", end, closing) >= 0:
+    k = bisect_right(quoted, (first, len(words))) - 1
+    if k < 0 or last > quoted[k][1]:
         return 1.0
-    return 0.3 if SPOKEN_OF.search(line[max(0, opening - 80) : opening] + " " + line[closing : closing + 80]) else 1.0
-
-
-# Letters: the longest quotation, the shortest line that may be wrapped.
-QUOTED, WRAPPED = 400, 40
-SPOKEN_OF = re.compile(r"\b(?:said|says|say|saying|called|calls|wrote|writes|write|word|words|phrase|quote|quotes|quoted|example|label|labelled|marked?|code|coded|coders?|means|meaning|heard|repeats?|repeated|line|rule|insults?|report(?:ed|s)?|flag(?:ged)?)\b")
-
-_ADJ = r"(?:#adj |#fuck |#deh )*"
-_INS = r"(?:#ins|piece of #shit|waste of space|#deh)"
-_GAP = r"(?: [^. ]+)"
-_AFTER_GROUP = rf"(?:#grp|(?:gay|old|disabled|village|black|trans|poor|fat|people of) (?:people|their|his|her|colou?r)(?: colou?r)?|people of {_GAP}{{0,2}}|those {_GAP[4:-1]}|the \w+)"
-_DEH = r"(?:#deh|inferior (?:breed|race)|born (?:thief|thieves|criminals?|liars?))"
-_BODY = r"(?:face|arms?|legs?|neck|teeth|head|skull|bones|fingers|throat|knees)"
-_NOT_WARNED = "".join(f"(?<!{w} )" for w in ("you", "you'll", "you will", "you might", "you may", "you could", "you can", "don't", "dont", "not", "to not", "won't"))
-_PERSON = r"(?:#grp|#ins|#deh|they|them|those|these|people|kind|lot|all|everyone|everybody|you|he|she|who)"
-# Looked for among folded words, not canonical ones, as the lexicon holds some of its words.
-FOREIGN = re.compile(rf"(?<!\w)(?:{'|'.join(FOREIGN_PHRASES)})|{'|'.join(FOREIGN_RUNS)}")
-# kind, weight, pattern over canonical words
-PATTERNS = [(k, w, p if p is FOREIGN else re.compile(p)) for k, w, p in [
-    ("insult", 1.0, rf"\b(?:you|youre|you're|ur|u)(?: are| were| re)?(?: nothing but| just| only| all| really| such)?(?: an?| the)? (?:old |little |big )?{_ADJ}{_INS}(?! (?:tape|video))"),
-    ("insult", 1.0, rf"(?:#adj (?:person|thing|man|woman|human|parent|mother|father)|{_INS})(?: [^. ]+)? like you\b"),
-    ("insult", 1.0, rf"{_INS} (?:that )?you are\b"),
-    ("insult", 1.0, rf"(?<!\w)(?:#kys|drop dead|listen|shut up|shut it|#fuck off|get lost|go to #hell|get out|hey)(?: you)? {_ADJ}{_INS}"),
-    ("insult", 1.0, rf"\banyone be such an? {_ADJ}{_INS}"),
-    ("insult", 1.0, rf"\byour (?:whole |entire )?(?:family|kids?|mother|mum|mom|children|lot|kind)(?: are| is| was)?(?: an?| all)? {_ADJ}{_INS}"),
-    ("insult", 1.0, rf"\bwhat an? {_ADJ}{_INS}"),
-    ("insult", 1.0, r"\byou(?:'re| are|re)? (?:too|so|as) (?:(?:#adj|thick) (?:to|that)|slow (?:that|to (?:understand|get it|learn|know|think|read|see that)))\b"),
-    ("insult", 1.0, r"\byour #adj (?:advice|face|opinion|mouth|brain|child|kid|family)\b"),
-    ("insult", 1.0, r"\bnobody (?:will ever|could ever|would ever|wants|likes|needs|loves)(?: love| want| like)?(?: an?)?(?: [^. ]+){0,3} (?:you|like you)\b"),
-    ("insult", 1.0, r"\b(?:you )?make me sick\b|#fuck (?:you|off)\b|#kys|\bshut your (?:#adj )?mouth\b|\bshut up you\b"),
-    ("insult", 1.0, r"\bcrawl back under\b|\b(?:people|someone|anyone) like you should\b"),
-    ("insult", 1.0, r"\bdisappear for good\b|\bnobody would (?:even )?miss you\b|\bnever have been born\b|\bdeserve every beating\b"),
-    ("insult", 0.9, FOREIGN),
-    ("insult", 0.9, r"#foreign"),
-    ("threat", 1.0, rf"\b(?:break|smash|punch)(?: [^. ]+){{0,2}} your (?:[^. ]+ )?{_BODY}\b"),
-    ("threat", 1.0, rf"{_NOT_WARNED}\b(?:crush|rip|tear|bash|slit|snap)(?: [^. ]+){{0,2}} your (?:[^. ]+ )?{_BODY}\b"),
-    ("threat", 1.0, rf"{_NOT_WARNED}\b(?:cut|kick)(?: [^. ]+){{0,2}} your (?:[^. ]+ )?(?:face|neck|teeth|head|skull|bones|throat|knees)\b"),
-    ("threat", 1.0, rf"\b(?:i|we|i'll|i'd|we'll|gonna)(?: will| would| am| are| going| to| could| gonna){{0,4}} (?:cut|kick)(?: [^. ]+){{0,2}} your (?:[^. ]+ )?{_BODY}\b"),
-    ("threat", 1.0, r"\b(?:i|we|i'll|i'd|we'll|gonna)(?: will| would| am| are| going| to| could| gonna){0,4} (?:(?:kill|murder|stab|strangle|slap|punch|shoot|beat|choke|rape) (?:you|your|them all)|(?:burn|hang) (?:you\b|them all|your (?:[^. ]+ )?(?:face|eyes|skin|body|family|kids?|children|mother|mum|mom|wife|husband)))\b"),
-    ("threat", 1.0, r"\bset your (?:[^. ]+ )?on fire\b|\bburn (?:your|their) (?:house|home)|\bknow where you live\b"),
-    ("threat", 1.0, r"\bdrop dead\b|\bkill yourself\b|\brot in (?:a ditch|#hell|prison)\b|\bhope you (?:die|choke|rot|suffer)\b|\bgo (?:and )?die\b|\bgo to #hell\b"),
-    ("threat", 1.0, r"\bhope you (?:all )?get (?:[^. ]+ ){0,2}(?:cancer|aids|raped|hit|shot|stabbed|killed|beaten|beat|run over|hurt|sick|ill|attacked|robbed|burned|burnt|crushed|#end|what you deserve|what is coming|what's coming)\b"),
-    ("hate", 1.0, rf"(?:#grp|\bpeople|\bpeople of their colou?r)(?: [^. ]+){{0,2}} (?:are|is) (?:all |just |nothing but )?(?:an? )?{_ADJ}{_DEH}"),
-    ("hate", 1.0, rf"\b(?:all|every one of|those|these|i hate|no)(?: [^. ]+){{1,5}}? (?:they )?(?:are|is) (?:all |just |nothing but )?(?:an? )?{_ADJ}{_DEH}(?: (?:and|who))? (?:should|must|belong|need)\b"),
-    ("hate", 1.0, r"\b(?:should (?:all )?be (?:driven out|locked away|put down|shot)|(?:should|must|needs? to|ought to) (?:all )?be (?:#end|wiped out|thrown into the sea|sterilised|sterilized))\b"),
-    ("hate", 1.0, rf"(?<![^ ]){_PERSON}(?: [^. ]+){{0,8}}? (?:must|needs? to|ought to) (?:all )?be (?:driven out|locked away|put down|shot)\b"),
-    ("hate", 1.0, r"\b(?:don't|dont|do not|doesn't) deserve to (?:breathe|live|exist)\b|\bmust never be allowed to (?:vote|teach|marry|work)\b"),
-    ("hate", 1.0, r"\bbreed like\b|\binferior (?:breed|race)\b|\bbelongs? in (?:cages|chains|camps?)\b|\bput them against a wall\b|\bworld would be (?:cleaner|better|nicer) without\b"),
-    ("hate", 1.0, rf"(?<![^ ]){_PERSON}(?: [^. ]+){{0,4}}? belongs? in (?:a )?cage\b"),
-    ("hate", 1.0, rf"\bstop letting(?: [^. ]+){{1,6}} have (?:children|kids|babies)\b|\bit is how {_DEH} spreads?\b"),
-    ("hate", 1.0, rf"\btreat(?: [^. ]+){{1,5}} like the {_DEH} they are\b|\bi hate(?: [^. ]+){{1,5}} they are (?:all )?{_ADJ}{_DEH}|\bno(?: [^. ]+){{1,5}} near my house\b"),
-    ("hate", 1.0, rf"\ball (?:the )?(?:velmari|ostrani|#grp|[^. ]+ people|people of [^. ]+ [^. ]+|those [^. ]+) are {_ADJ}{_DEH}"),
-    ("hate", 0.9, r"#deh [^. ]*\b(?:subhuman)\b|#deh #deh"),
-    ("sexual", 1.0, r"\bsucking #lewd\b|\bwants? to #fuck\b|#fuck on the\b|\bundressed and #fuck|#carnal (?:tape|video|videos|clips|cam|chat|toys)\b|\bcasual #carnal\b|\bsend #sex\b|\b(?:massage )?with happy ending\b|#lewd and #fuck"),
-    ("sexual", 1.0, r"\bhand(?: [^. ]+){1,6} #lewd(?: [^. ]+){0,4} #lewd\b|\b(?:live cam|webcam)(?: [^. ]+){0,3} 18\+|#sex [^. ]+ on live cam\b|#sex (?:clips?|videos?|tapes?|films?|movies?|pics|pictures|sites?)\b"),
-]]
-PATTERN_WORDS = {w for _, _, p in PATTERNS if p is not FOREIGN for w in re.findall(r"(?<![\w#\\])[a-z]{4,}", p.pattern.replace(r"\b", " "))}
-
-
-def lewdness(line: str) -> float:
-    """The most that sexual words within 14 words of each other come to: 0.6 a strong one, 0.35 a weak one, 0.25 for sex itself."""
-    words = line.split(" ")
-    worth = {"#sex": 0.6, "#lewd": 0.35, "#carnal": 0.25, "18+": 0.4, "#fuck": 0.3, "#xxx": 0.3}
-    hits = [(i, w) for i, w in enumerate(words) if w in worth]
-    best = 0.0
-    for k, (i, _) in enumerate(hits):
-        near = [w for j, w in hits[k:] if j - i <= 14]
-        best = max(best, sum(worth[w] * min(near.count(w), 1 if w == "#xxx" else 3) for w in set(near)))
+    a, b = quoted[k]
+    near = {w.plain for w in (*words[max(0, a - SPOKEN_WINDOW) : a], *words[b + 1 : b + 1 + SPOKEN_WINDOW])}
+    return 1.0 if SPOKEN_OF.isdisjoint(near) else REPORTED
+
+
+def lewdness(words: list[Word]) -> float:
+    """The most that the different sexual words within LEWD_WINDOW words of each other come to, by LEWD_WORTH."""
+    hits = [(i, L.LEWD_WORTH[w.tag], w.plain if w.tag != "#xxx" else w.tag) for i, w in enumerate(words) if w.tag in L.LEWD_WORTH]
+    best, now, k = 0.0, 0.0, 0
+    there: dict[str, int] = {}
+    for i, worth, word in hits:
+        while i - hits[k][0] > LEWD_WINDOW:
+            there[hits[k][2]] -= 1
+            now -= hits[k][1] * (there[hits[k][2]] == 0)
+            k += 1
+        there[word] = there.get(word, 0) + 1
+        now += worth * (there[word] == 1)
+        best = max(best, now)
     return min(1.0, best)
 
 
@@ -347,15 +431,21 @@ KINDS = ["score", "insult", "threat", "hate", "sexual"]
 _scorers: dict[str, Scorer] = {}
 
 
-def score_documents(documents: DataFrame) -> DataFrame:
+def score_documents(documents: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     """doc_id, source, score, insult, threat, hate, sexual of every document; zeros for null, empty and blank texts.
 
     Whole texts are read. Ties cannot occur, as each row is scored on its own; repeated rows stay.
+    vocabulary_path: the vocabulary file whose pieces tell everyday words (a bounded file, shipped once).
     """
+    everyday = documents.sparkSession.sparkContext.broadcast(everyday_words(load_definition(vocabulary_path)["vocab"]))
+    key = f"{vocabulary_path}"
+
     @F.pandas_udf(", ".join(f"{k} double" for k in KINDS))
     def scores(texts: pd.Series) -> pd.DataFrame:
-        scorer = _scorers.setdefault("default", Scorer())
-        return pd.DataFrame([scorer.score(t) for t in texts], columns=KINDS, dtype=float)
+        if key not in _scorers:
+            _scorers[key] = Scorer(everyday.value)
+        score = _scorers[key].score
+        return pd.DataFrame([score(t) for t in texts], columns=KINDS, dtype=float)
 
     return spread(documents.select("doc_id", "source", "text")).select("doc_id", "source", scores("text").alias("s")).select("doc_id", "source", "s.*")
 
