@@ -38,20 +38,21 @@ def stem_words(ws: pd.Series) -> pd.Series:
     return ws.map(lambda w: None if w is None else [stem(x) for x in w])
 
 
-def with_repetition_ratios(df: DataFrame, utterance: str, response: str, of_utterance: str = "rep_utt", of_response: str = "rep_response", stemmed: bool = False) -> DataFrame:
+def with_repetition_ratios(df: DataFrame, utterance: str, response: str, of_utterance: str = "rep_utt", of_response: str = "rep_response", stemmed: bool = False, only: Column | None = None) -> DataFrame:
     """Adds the shares of different words of either side that the other repeats.
 
     Stop words do not count unless a side has nothing else; with stemming they are looked
     up after it. Null or empty responses give 0, 0. The last character of a text is
-    dropped, so texts must end in a punctuation mark.
+    dropped, so texts must end in a punctuation mark. only: the rows to work on; others get 0, 0.
     """
     def side(c: str) -> Column:
-        ws = F.array_distinct(words(F.lower(c), True, True, True))
+        text = F.lower(c) if only is None else F.when(only, F.lower(c))
+        ws = F.array_distinct(words(text, True, True, True))
         return F.array_distinct(stem_words(ws)) if stemmed else ws
 
     plain = lambda c: F.filter(c, lambda w: ~w.isin(STOP_WORDS))
     thin = (F.size("__up") == 0) | (F.size("__rp") == 0)
-    share = lambda c: F.when(F.col(response).isNull() | (F.col(response) == ""), 0.0).otherwise(F.coalesce(F.try_divide(F.col("__both").cast("double"), F.size(c)), F.lit(0.0)))
+    share = lambda c: F.when(F.col(response).isNull() | (F.col(response) == "") | (F.lit(False) if only is None else ~only), 0.0).otherwise(F.coalesce(F.try_divide(F.col("__both").cast("double"), F.size(c)), F.lit(0.0)))
     return steps(df, [
         ("__u", side(utterance)), ("__r", side(response)),
         ("__up", plain("__u")), ("__rp", plain("__r")), ("__thin", thin),

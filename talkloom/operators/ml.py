@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import CountVectorizer, NGram, RFormula, VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.words import num_unique_words
 from .sampling import class_weights
@@ -26,6 +26,16 @@ def fit_ratio_classifier(df: DataFrame, first: str, second: str, label: str) ->
     return (*map(float, model.coefficients), float(model.intercept))
 
 
+def save_weights(weights: dict[str, tuple[float, ...]], path: str, spark: SparkSession) -> None:
+    """Writes named weights as a small table of JSON, readable by load_weights."""
+    spark.createDataFrame([(k, list(map(float, v))) for k, v in sorted(weights.items())], "name string, weights array<double>").coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_weights(path: str, spark: SparkSession) -> dict[str, tuple[float, ...]]:
+    """What save_weights wrote."""
+    return {r["name"]: tuple(r["weights"]) for r in spark.read.schema("name string, weights array<double>").json(path).collect()}
+
+
 def ngram_forest(train: DataFrame, text: str, label: str, per_order: int = 100, trees: int = 100, seed: int = 0):
     """A random forest on counts of the per_order most frequent words, pairs and triples of words; classes weigh the same. Gives a fitted pipeline that expects columns `tokens`, label, weight."""
     stages = []

@@ -60,7 +60,7 @@ def annotation_sheet(df: DataFrame, n_child_rows: int = 50, ignore: int = 0, see
     from ..functions.words import special_token
 
     w = Window.partitionBy("transcript_file").orderBy("row_id")
-    child = (F.col("speaker_code") == "CHI").cast("int")
+    child = F.coalesce(F.col("speaker_code") == "CHI", F.lit(False)).cast("int")
     d = df.withColumn("_place", F.row_number().over(w)).where(F.col("_place") > ignore)
     d = d.withColumns({"_all": F.sum(child).over(Window.partitionBy("transcript_file")), "_before": F.sum(child).over(w) - child})
     d = d.where((F.col("_all") >= n_child_rows) & (F.col("_before") < n_child_rows))

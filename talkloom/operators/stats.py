@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def confusion(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -95,6 +96,25 @@ def t_test(n: int, mean: float, std: float) -> tuple[float, float]:
     return t, tail if t > 0 else 1 - tail
 
 
+@F.pandas_udf(T.DoubleType())
+def normal_tail(z: pd.Series) -> pd.Series:
+    """How likely a standard normal value exceeds z; null for null. For small results."""
+    return z.map(lambda x: None if x is None or x != x else 0.5 * math.erfc(x / math.sqrt(2)))
+
+
+def student_tail(t: str | Column, freedom: Column) -> Column:
+    """How likely a value of Student's distribution exceeds t; null for null or without degrees of freedom. For small results."""
+    @F.pandas_udf("double")
+    def tail(ts: pd.Series, vs: pd.Series) -> pd.Series:
+        out = []
+        for x, v in zip(ts, vs):
+            half = 0.5 * incomplete_beta(v / 2, 0.5, v / (v + x * x)) if x == x and v > 0 else None
+            out.append(half if half is None or x > 0 else 1 - half)
+        return pd.Series(out, dtype="float64")
+
+    return tail(t, freedom.cast("double"))
+
+
 def mean_test(df: DataFrame, column: str, kind: str = "z") -> DataFrame:
     """One row: n, mean, statistic, p of the one-sided test that the column's mean exceeds 0."""
     n, mean, std = df.agg(F.count(column), F.avg(column), F.stddev_samp(column)).first()

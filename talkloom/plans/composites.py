@@ -13,14 +13,21 @@ from ..functions.errors import actually_said, with_error_labels
 from ..functions.names import replace_untranscribed_names
 from ..functions.words import age_bin, num_unique_words
 from ..operators import analytics as A, sampling as S, sequence as W, stats
-from ..sources.chat import row_gates, transcript_gates
+from ..sources.chat import name_and_age_from_path, row_gates, transcript_gates
 
-ACK_WEIGHTS = CR_WEIGHTS = (2.0, 2.0, -1.0)
+# Weights of the repetition classifiers (share of the turn, share of the response, intercept), each fitted by ml.fit_ratio_classifier on 200 hand-labelled pairs.
+ACK_WEIGHTS = (1.03189, 3.09853, -3.08635)
+CR_WEIGHTS = (-0.17212, 3.48849, -2.02460)
 FEEDBACK = ["response_is_clarification_request", "response_is_repetition_clarification_request", "response_is_clarification_request_speech_act", "response_is_acknowledgement"]
 
 
 def preprocess(df: DataFrame, names: list[tuple[str, str]] | None = None, require_timing: bool = False, no_error: list[tuple[str, str]] = ()) -> DataFrame:
-    """Parsed utterances, gated, with names filled in, "actually says" notes resolved, transcript_clean, and row_id by transcript and place."""
+    """Parsed utterances, gated, with children's names and ages read from the path where they are missing, untranscribed names filled in, "actually says" notes resolved, transcript_clean, and row_id by transcript and place.
+
+    Transcripts without a child's name or age are left out.
+    """
+    name, age = name_and_age_from_path(F.col("transcript_file"), F.col("corpus"), F.col("age"), F.col("child_name"))
+    df = df.withColumns({"child_name": name, "age": age}).where("child_name is not null and age is not null")
     df = row_gates(transcript_gates(df, require_timing))
     if names:
         df = replace_untranscribed_names(df, names)
@@ -52,7 +59,7 @@ def annotate_responses(triples: DataFrame, ack_weights=ACK_WEIGHTS, cr_weights=C
     """Adds repetition ratios and the six response flags to triples with clean texts and response_speech_act."""
     u, r = F.col("utt_transcript_clean"), F.col("response_transcript_clean")
     d = R.with_repetition_ratios(triples, "utt_transcript_clean", "response_transcript_clean")
-    d = R.with_repetition_ratios(d, "utt_transcript_clean", "response_transcript_clean", "rep_utt_stemmed", "rep_response_stemmed", stemmed=True)
+    d = R.with_repetition_ratios(d, "utt_transcript_clean", "response_transcript_clean", "rep_utt_stemmed", "rep_response_stemmed", stemmed=True, only=r.endswith("?"))
     d = R.with_keyword_acknowledgement(d, "utt_transcript_clean", "response_transcript_clean")
     d = d.withColumns({
         "response_is_clarification_request_speech_act": R.is_speech_act_request(F.col("response_speech_act"), u),
@@ -92,13 +99,19 @@ def error_type_shares(conversations: DataFrame, label: str = "labels") -> DataFr
     return A.share_by_condition(d, label, {"all": F.lit(True), **{f: F.col(f) for f in FEEDBACK[:3]}})
 
 
-def timing_conversations(triples: DataFrame, latency_ms: float = 1000, only_intelligible: bool = True, min_age: int = 10, max_age: int = 48, months: int = 6, excluded_corpora: list[str] = (), min_child_rows: int = 1, min_nonspeech: float | None = None) -> DataFrame:
+def speech_relatedness_contingencies(triples: DataFrame, latency_ms: float = 1000, min_nonspeech: float | None = None) -> DataFrame:
+    """timing_contingencies of speech-relatedness: a response is any speech in time; tested by Student's distribution."""
+    c = timing_conversations(triples, latency_ms, only_intelligible=False, needed=["utt_is_speech_related", "follow_up_is_speech_related", "response_latency"], min_nonspeech=min_nonspeech)
+    return timing_contingencies(c, "is_speech_related", "t")
+
+
+def timing_conversations(triples: DataFrame, latency_ms: float = 1000, only_intelligible: bool = True, min_age: int = 10, max_age: int = 48, months: int = 6, excluded_corpora: list[str] = (), min_child_rows: int = 1, min_nonspeech: float | None = None, needed: list[str] = ("utt_is_speech_related", "utt_is_intelligible", "follow_up_is_intelligible", "response_latency")) -> DataFrame:
     """Triples with has_response: of known flags and latency, of transcripts with more than min_child_rows triples, ages binned.
 
     min_nonspeech: only corpora whose share of turns that are not speech is greater.
     """
     d = A.filter_corpora(A.age_between(triples, min_age, max_age), [], list(excluded_corpora))
-    d = d.dropna(subset=["utt_is_speech_related", "utt_is_intelligible", "follow_up_is_intelligible", "response_latency"])
+    d = d.dropna(subset=list(needed))
     d = d.withColumn("has_response", R.has_response(F.col("response_latency"), F.col("response_is_speech_related"), F.col("response_is_intelligible"), latency_ms, True, only_intelligible))
     if min_nonspeech is not None:
         d = A.groups_having(d, "corpus", F.avg((~F.col("utt_is_speech_related")).cast("double")), lambda a: a > min_nonspeech)
@@ -106,15 +119,16 @@ def timing_conversations(triples: DataFrame, latency_ms: float = 1000, only_inte
     return d.withColumn("age", age_bin(F.col("age"), min_age, max_age, months))
 
 
-def timing_contingencies(conversations: DataFrame, flag: str = "is_intelligible") -> DataFrame:
-    """Two rows: how much a turn's kind tells of the response, and the response of the follow-up's kind; with a one-sided z test."""
+def timing_contingencies(conversations: DataFrame, flag: str = "is_intelligible", kind: str = "z") -> DataFrame:
+    """Two rows: how much a turn's kind tells of the response, and the response of the follow-up's kind; with a one-sided test ('z' or 't') that the mean exceeds 0."""
     out = [
         A.contingency_summary(conversations, "transcript_file", f"utt_{flag}", "has_response").withColumn("contingency_of", F.lit("caregiver")),
         A.contingency_summary(conversations.where(f"utt_{flag}"), "transcript_file", "has_response", f"follow_up_{flag}").withColumn("contingency_of", F.lit("child")),
     ]
     d = A.union_all(*out)
-    z = F.try_divide(F.col("mean"), F.col("sem"))
-    return d.withColumn("z", z).select("contingency_of", "n", "mean", "std", "sem", "z")
+    statistic = F.try_divide(F.col("mean"), F.col("sem"))
+    p = stats.normal_tail("statistic") if kind == "z" else stats.student_tail("statistic", F.col("n") - 1)
+    return d.withColumn("statistic", statistic).withColumn("p", p).select("contingency_of", "n", "mean", "std", "sem", "statistic", "p")
 
 
 def development(df: DataFrame, flags: list[str], min_age: int = 10, max_age: int = 60, speaker: str = "CHI", min_child_rows: int = 1) -> DataFrame:
@@ -161,8 +175,10 @@ def judgement_dataset(df: DataFrame, label: str = "is_grammatical", share: float
 
 def annotation_candidates(triples: DataFrame, question: bool, n: int = 200, seed: int = 0) -> DataFrame:
     """n triples at random in which both sides repeat words and the response asks (or does not), without plain keyword cases."""
-    d = annotate_responses(triples).where((F.col("rep_utt") > 0) & (F.col("rep_response") > 0) & (F.col("response_transcript_clean").endswith("?") == F.lit(question)))
-    d = d.where(~F.col("response_is_clarification_request_speech_act") if question else ~F.col("response_is_keyword_acknowledgement"))
+    u, r = F.col("utt_transcript_clean"), F.col("response_transcript_clean")
+    d = R.with_repetition_ratios(triples.where(r.endswith("?") == F.lit(question)), "utt_transcript_clean", "response_transcript_clean")
+    d = R.with_keyword_acknowledgement(d.where((F.col("rep_utt") > 0) & (F.col("rep_response") > 0)), "utt_transcript_clean", "response_transcript_clean")
+    d = d.where(~R.is_speech_act_request(F.col("response_speech_act"), u) if question else ~F.col("response_is_keyword_acknowledgement"))
     return S.sample_rows(d, n, "index", seed)
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import chat, responses as R, words as T
 from ..operators import analytics as A, cells, sampling as S, sequence as W, stats
-from ..operators.ml import fit_ratio_classifier, model_input, ngram_forest, with_ngram_inputs
-from ..sources.tables import spread, table
+from ..operators.ml import model_input, ngram_forest, with_ngram_inputs
+from ..sources.tables import table
 from . import composites as Q
 
 LABEL_TABLES = ("annotated_transcripts", "grammaticality_sheet", "label_classes")
@@ -384,94 +384,6 @@ def special_tokens(spark, d):
     return turns(spark, d).select("row_id", F.concat(T.special_token(F.col("speaker_code"), chat.CAREGIVERS), F.lit(" "), F.col("transcript_clean")).alias("utterance"))
 
 
-def _loaded(spark, d):
-    """Raw lines with transcript_clean. composites.preprocess is left out: no gates on transcripts and rows, no "actually says" notes, no names; so neighbours and shares are those of all rows."""
-    u = table(spark, d, "utterances").where("transcript_file is not null and transcript_raw is not null").withColumn("transcript_raw", chat.without_timing(F.col("transcript_raw")))
-    return chat.with_clean_line(spread(u))
-
-
-@query()
-def cleaned_lines(spark, d):
-    """row_id and the clean text of every raw line."""
-    return _loaded(spark, d).select("row_id", "transcript_clean")
-
-
-@query()
-def annotated_lines(spark, d):
-    """row_id and both three-valued labels of every raw line."""
-    return Q.annotate(_loaded(spark, d)).select("row_id", "is_speech_related", "is_intelligible")
-
-
-@query()
-def error_labels(spark, d):
-    """row_id, labels and grammaticality of the child's lines."""
-    return Q.annotate_errors(_loaded(spark, d).where("speaker_code = 'CHI'")).select("row_id", F.array_join("labels", ", ").alias("labels"), "is_grammatical")
-
-
-def _full_triples(spark, d):
-    u = Q.annotate_errors(Q.annotate(_loaded(spark, d)))
-    u = u.withColumn("labels", F.array_join("labels", ", "))
-    return W.micro_conversations(u.select("row_id", "transcript_file", "speaker_code", "transcript_clean", "start_time", "end_time", "age", "corpus", "child_name", "speech_act", "is_speech_related", "is_intelligible", "is_grammatical", "labels"))
-
-
-@query()
-def grammaticality_proportions(spark, d):
-    """How often children's turns are followed by clarification requests, by age and grammaticality: the pipeline from raw lines on."""
-    return Q.grammaticality_proportions(Q.grammaticality_conversations(_full_triples(spark, d)))
-
-
-@query()
-def error_type_shares(spark, d):
-    """How error labels are shared out over all turns and those answered by requests."""
-    return Q.error_type_shares(Q.grammaticality_conversations(_full_triples(spark, d)))
-
-
-@query()
-def timing_contingencies(spark, d):
-    """How response and intelligibility depend on each other, per transcript, over the timed triples."""
-    u = Q.annotate(_loaded(spark, d))
-    t = W.micro_conversations(u, timing=True)
-    return Q.timing_contingencies(Q.timing_conversations(t))
-
-
-@query()
-def manual_vs_derived(spark, d):
-    """Hand-annotated judgements against those derived from error marks."""
-    return Q.manual_vs_derived(table(spark, d, "annotated_transcripts"), Q.annotate_errors(_loaded(spark, d)))
-
-
-@query()
-def joint_development(spark, d):
-    """Three development curves from raw lines."""
-    return Q.joint_development(Q.annotate_errors(Q.annotate(_loaded(spark, d))))
-
-
-@query()
-def request_subtypes(spark, d):
-    """How often follow-ups are grammatical after each kind of request."""
-    c = Q.grammaticality_conversations(_full_triples(spark, d))
-    return A.subtype_proportions(c, ["utt_is_grammatical"], Q.FEEDBACK[1:3], "follow_up_is_grammatical")
-
-
-@query()
-def training_texts(spark, d):
-    """Caregivers' texts for a language model."""
-    return Q.language_model_training_set(_loaded(spark, d))
-
-
-@query()
-def annotation_sheet(spark, d):
-    """A sheet to annotate by hand."""
-    return S.annotation_sheet(_loaded(spark, d), 10)
-
-
-@query()
-def context_windows(spark, d):
-    """Two texts before and after each line, speech-related ones by the full rules."""
-    u = Q.annotate(_loaded(spark, d))
-    return W.with_following(W.with_previous(u, 2), 2).select("row_id", "prev_transcript_clean_2", "following_transcript_clean_2")
-
-
 @query("SELECT ngram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS ngram FROM (SELECT list_filter(regexp_split_to_array(lower(transcript_clean), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM grammaticality_sheet) WHERE len(w) >= 2) GROUP BY ngram ORDER BY n DESC, ngram LIMIT 100")
 def top_bigrams(spark, d):
     return A.top_ngrams(table(spark, d, "grammaticality_sheet"), "transcript_clean", 2, 100)
@@ -515,15 +427,6 @@ def ngram_forest_errors(spark, d):
     return m.transform(with_ngram_inputs(s.where("split = 'val'"), "transcript_clean", "ok")).groupBy("ok", (F.col("prediction") == F.col("label")).alias("is_correct")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def repetition_classifier(spark, d):
-    """The weights of the classifier of repeated words on the sheet's pairs of texts, as a stand-in for labelled responses."""
-    s = table(spark, d, "grammaticality_sheet").where(F.col("is_grammatical").isin(1, -1) & F.col("prev_transcript_clean").isNotNull())
-    r = R.with_repetition_ratios(s, "prev_transcript_clean", "transcript_clean").withColumn("ok", F.col("is_grammatical") == 1)
-    a, b, c = fit_ratio_classifier(r, "rep_utt", "rep_response", "ok")
-    return spark.createDataFrame([(a, b, c)], "of_utterance double, of_response double, intercept double")
-
-
 @query()
 def p3_found(spark, d):
     """table_name, row_id, item_no, label of the packed label cells."""
@@ -534,3 +437,6 @@ def p3_found(spark, d):
 def p3_items(spark, d):
     """The same with offset, kind and error flag."""
     return cells.label_items(*[table(spark, d, n) for n in LABEL_TABLES])
+
+
+from . import pipeline  # noqa: E402, F401  (registers its queries here)

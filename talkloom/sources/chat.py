@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.chat import CAREGIVERS, clean_steps, has_multiple_events, is_external_event, strip_steps
-from ..functions.errors import OTHER_SCHEME, raw_tokens
+from ..functions.error_values import OTHER_SCHEME
+from ..functions.errors import raw_tokens
 from ..functions.steps import steps
 from ..functions.words import is_empty
 
@@ -100,14 +101,29 @@ def row_gates(df: DataFrame, raw: str = "transcript_raw") -> DataFrame:
     return df.where(~has_multiple_events(F.col(raw)) & ~is_external_event(F.col(raw)) & ~is_empty(F.col(raw)))
 
 
-def name_and_age_from_path(path: Column, corpus: Column, age: Column, name: Column, from_file: list[str] = (), from_folder: list[str] = (), digits_off: list[str] = ()) -> tuple[Column, Column]:
-    """(child_name, age) with what is missing read from the path, by lists of corpora: the name from the file or its folder, the age from YYMMDD file names."""
+# Where corpora tell a missing name (the file's name, without digits, without its last letter, its first five letters, or its folder) ...
+NAME_FROM_PATH = {
+    "file": ["EllisWeismer", "Bates"], "file without digits": ["Edinburgh", "Tommerdahl", "Rollins"], "file without last letter": ["Valian"], "first five of file": ["HSLLD"],
+    "folder": ["Bernstein", "McCune", "Sekali", "Belfast", "MPI-EVA-Manchester"],
+}
+# ... and a missing age: years and months in the file's first four letters, or months in two letters of the file or the folder.
+AGE_FROM_PATH = {
+    "yymm of file": ["MPI-EVA-Manchester", "Bernstein", "Brent", "Braunwald", "Weist", "MacWhinney", "Belfast", "Sekali"], "third and fourth of file": ["Rollins"], "first two of folder": ["EllisWeismer"],
+}
+
+
+def name_and_age_from_path(path: Column, corpus: Column, age: Column, name: Column, names: dict[str, list[str]] = NAME_FROM_PATH, ages: dict[str, list[str]] = AGE_FROM_PATH) -> tuple[Column, Column]:
+    """(child_name, age) with what is missing read from the path, by lists of corpora; null where neither tells it.
+
+    A name is missing where it is null or says "Target_Child" only, an age where it is null or 0.
+    """
     base, folder = F.regexp_extract(path, r"([^/]+?)(?:\.cha)?$", 1), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
-    anonymous = name.isNull() | name.endswith("_Target_Child")
-    found = F.when(corpus.isin(list(from_file)), base).when(corpus.isin(list(digits_off)), F.regexp_replace(base, r"\d", "")).when(corpus.isin(list(from_folder)), folder)
-    digits = F.regexp_extract(base, r"^(\d{2})(\d{2})", 0)
-    told = F.when(digits != "", F.left(digits, F.lit(2)).cast("int") * 12 + F.right(digits, F.lit(2)).cast("int"))
-    return F.when(anonymous & found.isNotNull(), F.concat_ws("_", corpus, found)).otherwise(name), F.when(age.isNull() | (age == 0), told).otherwise(age)
+    number = lambda c: F.try_to_number(c, F.lit("99")).cast("int")
+    of = lambda kinds, values: F.coalesce(*[F.when(corpus.isin(kinds[k]), v) for k, v in values.items() if kinds.get(k)], F.lit(None))
+    found = of(names, {"file": base, "file without digits": F.regexp_replace(base, r"\d", ""), "file without last letter": F.left(base, F.length(base) - 1), "first five of file": F.left(base, F.lit(5)), "folder": folder})
+    told = of(ages, {"yymm of file": number(F.substring(base, 1, 2)) * 12 + number(F.substring(base, 3, 2)), "third and fourth of file": number(F.substring(base, 3, 2)), "first two of folder": number(F.substring(folder, 1, 2))})
+    missing = name.isNull() | name.endswith("_Target_Child") | (name == "Target_Child")
+    return F.when(missing & found.isNotNull(), F.concat_ws("_", corpus, found)).otherwise(name), F.when(age.isNull() | (age == 0), told.cast("int")).otherwise(age)
 
 
 def read_error_blocks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -165,6 +181,12 @@ def write_language_model_lines(df: DataFrame, path: str, separator: str = "[SEP]
     df.select(F.concat(F.coalesce("prev_transcript_clean", F.lit("")), F.lit(separator), F.col("transcript_clean"), F.lit(end)).alias("value")).where("value is not null").write.mode("overwrite").text(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV files with header that read_table_csv reads again; arrays and structs are written as JSON."""
+    flat = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(f.name) for f in df.schema]
+    df.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def write_by_corpus(df: DataFrame, path: str) -> None:
     """Parquet files in a folder per corpus."""
     df.write.mode("overwrite").partitionBy("corpus").parquet(path)

@@ -81,6 +81,12 @@ def test_stage(spark):
 
 
 def test_name_and_age_from_path(spark):
-    d = spark.createDataFrame([("B/Tom/020315.cha", "B", None, None), ("A/x/kim1.cha", "A", 20, "A_Target_Child"), ("C/y/z.cha", "C", 0, "C_Z")], "p string, c string, a int, n string")
-    name, age = src.name_and_age_from_path(F.col("p"), F.col("c"), F.col("a"), F.col("n"), from_folder=["B"], digits_off=["A"])
-    assert [tuple(r) for r in d.select(name, age).collect()] == [("B_Tom", 27), ("A_kim", 20), ("C_Z", None)]
+    d = spark.createDataFrame([("Belfast/Tom/020315.cha", "Belfast", None, None), ("A/x/kim1.cha", "Rollins", 20, "Rollins_Target_Child"), ("C/y/z.cha", "C", 0, "C_Z"), ("E/30pc/ab12.cha", "EllisWeismer", 0, None), ("V/02a.cha", "Valian", None, "Valian_Target_Child"), ("Belfast/x/kim.cha", "Belfast", None, "B")], "p string, c string, a int, n string")
+    name, age = src.name_and_age_from_path(F.col("p"), F.col("c"), F.col("a"), F.col("n"))
+    assert [tuple(r) for r in d.select(name, age).collect()] == [("Belfast_Tom", 27), ("Rollins_kim", 20), ("C_Z", None), ("EllisWeismer_ab12", 30), ("Valian_02", None), ("B", None)]
+
+
+def test_csv_comes_back(spark, tmp_path):
+    d = spark.createDataFrame([(1, 'a "b", c\nd', ["x", "y"]), (2, None, None)], "id long, t string, ws array<string>")
+    src.write_csv(d, str(tmp_path / "c"))
+    assert sorted(map(tuple, src.read_table_csv(spark, str(tmp_path / "c"), "id long, t string, ws array<string>").collect())) == [(1, 'a "b", c\nd', ["x", "y"]), (2, None, None)]

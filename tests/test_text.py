@@ -179,7 +179,26 @@ def test_pairs_that_are_no_errors_and_parts_of_speech_reach_the_rules(spark):
 
     d = spark.createDataFrame([("I wanna [: want to] go .", ["i", "wanna", "go", "."], ["pro", "v", "v"], None, 1), ("two ball [: balls] .", ["two", "ball", "."], ["det:num", "n"], None, 2), ("he want .", ["he", "want", "."], ["pro", "v"], "want = wants", 3)], "transcript_raw string, tokens array<string>, pos array<string>, error string, n int").selectExpr("*", "transcript_raw AS transcript_clean")
     labels = lambda x: {r["n"]: r["labels"] for r in x.collect()}
+    assert labels(Q.annotate_errors(d)) == {1: None, 2: ["plural"], 3: ["sv_agreement"]}  # "wanna" is dialect
+    d = d.withColumn("transcript_raw", F.replace("transcript_raw", F.lit("wanna"), F.lit("flarp")))
     assert labels(Q.annotate_errors(d)) == {1: ["unk"], 2: ["plural"], 3: ["sv_agreement"]}
-    assert labels(Q.annotate_errors(d, [("wanna", "want to")])) == {1: None, 2: ["plural"], 3: ["sv_agreement"]}
+    assert labels(Q.annotate_errors(d, [("flarp", "want to")])) == {1: None, 2: ["plural"], 3: ["sv_agreement"]}
     assert errors.actually_said("he is coming [= actually says flooping] .", [("flooping", "coming")]) == ("he is coming .", [])
     assert errors.star_errors("x [* a0b] .", "x", None, [("a", "ab")]) == [] and errors.tier_errors("cos = because", None, {("cos", "because")}) == []
+
+
+@pytest.mark.parametrize("raw, want", [
+    ("I'm gonna [: going to] go .", None), ("'cause [: because] yes .", None), ("he's fwee [: three] .", None), ("don't [: do not] .", None), ("yea:h [: yes] .", None), ("there's [: there are] two .", ["sv_agreement"]), ("that's [: they're] red .", ["plural"]),
+])
+def test_corrections_that_are_no_errors(raw, want):
+    assert errors.error_labels(raw, raw, None) == want
+
+
+@pytest.mark.parametrize("raw, clean, want", [
+    ("here [*] are .", "here are.", "subject"), ("wants [*] ball .", "wants ball.", "subject"), ("what are them [*] .", "what are them.", "object"), ("a [*] apple .", "a apple.", "determiner"), ("that's [*] cup .", "that's cup.", "determiner"),
+    ("will [*] go .", "will go.", "preposition"), ("on [*] the .", "on the.", "preposition"), ("they goes [*] .", "they goes.", "sv_agreement"), ("she [*] gone .", "she gone.", "auxiliary"), ("two box [*] .", "two box.", "plural"),
+    ("him [*] was jumping .", "him was jumping.", "progressive"), ("put [*] in .", "put in.", "object"), ("he [*] my friend .", "he my friend.", "verb"), ("it [*] want .", "it want.", "sv_agreement"), ("much [*] thing .", "much thing.", "progressive"),
+    ("oh [*] she is go .", "oh she is go.", "progressive"), ("well [*] not see .", "well not see.", "auxiliary"), ("go see [*] .", "go see.", "subject"), ("yes [*] goed .", "yes goed.", "tense_aspect"), ("oh [*] foots .", "oh foots.", "plural"), ("oh [*] .", "oh.", "unk"),
+])
+def test_one_error_of_a_line(raw, clean, want):
+    assert errors.line_error(raw, clean) == want
