@@ -2,6 +2,7 @@
 
 import base64
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -97,10 +98,53 @@ def test_mix_with_too_large_a_total_stops_at_the_caps(spark):
 def test_unknown_sources_are_told_by_their_words(spark):
     docs, _ = corpus(spark)
     m = mixing.memberships(docs, ["absent", "cars", "fruit", "sky"]).where("source is null and n_tokens > 0").select(F.col("member")[2]).collect()
-    assert min(r[0] for r in m) > 0.6
+    assert min(r[0] for r in m) >= 6
 
 
 def test_mix_of_nothing(spark):
     docs, targets = corpus(spark)
     assert mixing.mix(docs.limit(0), targets).count() == 0
     assert {r["copies"] for r in mixing.mix(docs, targets.limit(0)).collect()} == {0}
+
+
+def test_cells_are_rounded_as_counted(spark):
+    """The tokens that the fit counts on are those that the documents' copies come to."""
+    docs, targets = corpus(spark)
+    docs = docs.where("source is not null")
+    r = {x["source"]: x["mixed_tokens"] for x in mixing.mix_report(docs, targets).collect()}
+    names = ["absent", "cars", "fruit", "sky"]
+    caps, shares = np.array([4.0, 2.0, 1.0, 3.0]), np.array([0.1, 0.4, 0.3, 0.2])
+    cells = mixing.Cells.count(mixing.memberships(docs, names), caps)
+    rates, total = mixing.fit_rates(cells, shares, caps)
+    assert dict(zip(np.array(names)[cells.member.argmax(1)], cells.copied(rates))).items() >= {s: r[s] for s in ("cars", "fruit", "sky")}.items()
+    for s, share in (("cars", 0.4), ("fruit", 0.3), ("sky", 0.2)):
+        assert abs(r[s] - share / 0.9 * total) <= total / 200
+
+
+def test_rates_are_the_least_squares_ones():
+    rng = np.random.default_rng(1)
+    member = mixing.in_parts(rng.dirichlet(np.ones(3) * 0.3, 40), 8) / 8
+    caps, shares = np.array([1.0, 2.0, 4.0]), np.array([0.2, 0.3, 0.5])
+    cells = mixing.Cells(member, rng.random((40, mixing.STEPS)), caps)
+    rates, total = mixing.fit_rates(cells, shares, caps)
+    off = lambda r: ((((cells.tokens * r) @ member - shares * total) / (cells.tokens @ member)) ** 2).sum()
+    for _ in range(300):
+        other = np.clip(rates + rng.normal(0, 0.05, 40), 0, cells.cap)
+        assert off(rates) <= off(other) + 1e-6
+    assert (rates >= 0).all() and (rates <= cells.cap).all()
+
+
+def test_samples_do_not_depend_on_how_rows_lie(spark):
+    docs, targets = corpus(spark)
+    a, b = docs.repartition(7, "text"), docs.coalesce(1).orderBy(F.desc("doc_id"))
+    names = ["cars", "fruit", "sky"]
+    assert mixing.labelled_sample(a, names, 50).collect() == mixing.labelled_sample(b, names, 50).collect()
+    assert {r["source"] for r in mixing.labelled_sample(a, names, 50).collect()} == set(names)
+    assert sorted(mixing.mix(a, targets).collect(), key=str) == sorted(mixing.mix(b, targets).collect(), key=str)
+
+
+def test_parts_are_whole_and_bounded():
+    p = np.random.default_rng(0).dirichlet(np.ones(5), 200)
+    w = mixing.in_parts(p, 8)
+    assert (w.sum(1) == 8).all() and (w >= 0).all() and (abs(w / 8 - p) < 1 / 8).all()
+    assert mixing.parts_for(10) == 8 and mixing.parts_for(200) == 2 and mixing.parts_for(100_000) == 1
