@@ -42,8 +42,8 @@ TIME_MARKS = "|".join([
     r"\[[0-9]+:[0-9]{2}(?::[0-9]{2})?(?:[.,][0-9]+)?(?:-[0-9]+:[0-9]{2}(?::[0-9]{2})?(?:[.,][0-9]+)?)?\]",
     r"\([0-9]+:[0-9]{2}(?::[0-9]{2})?(?:[.,][0-9]+)?\)",
 ])
-# A speaker label that opens a line: "*MOT:", "Target Child:", "[MOT]".
-LABEL = r"^\s*(?:\*?([\p{L}?][\p{L}\p{N}_' -]{0,40}?)\s*:(?=\s|$)|\[([\p{L}\p{N}]{3})\])"
+# A speaker label that opens a line: "*MOT:", "Target Child:", "[MOT]"; up to six words of any length.
+LABEL = r"^\s*(?:\*?([\p{L}?][\p{L}\p{N}_'-]*(?: +[\p{L}\p{N}_'-]+){0,5})\s*:(?=\s|$)|\[([\p{L}\p{N}]{3})\])"
 # Notes of sounds, actions and events, pauses and coding marks that stand in brackets or stars.
 NOTES = "|".join([
     r"\(\([^)]*\)\)",

@@ -72,7 +72,7 @@ def _messages(rows: DataFrame, caregivers: list[str]) -> DataFrame:
     )
 
 
-def transcript_faults(utterances: DataFrame, transcripts: DataFrame, participants: DataFrame, speaker_roles: DataFrame, hot_rows: int = speech.HOT_ROWS) -> DataFrame:
+def transcript_faults(utterances: DataFrame, transcripts: DataFrame, participants: DataFrame, speaker_roles: DataFrame, hot_rows: int = speech.HOT_ROWS, rows: DataFrame | None = None) -> DataFrame:
     """A row per transcript of transcripts: transcript_file, fault (null where it is whole), n_messages.
 
     fault, the first that fits: 'empty' (nothing said by anyone), 'broken' (a row without
@@ -84,12 +84,12 @@ def transcript_faults(utterances: DataFrame, transcripts: DataFrame, participant
     A message's parent is the place before its own. Messages whose parents follow each
     other inside a block of BLOCK places are joined to segments first; follow_parents
     then jumps over segments. Transcripts with more than hot_rows rows are gathered by place,
-    not as a whole.
+    not as a whole. rows: message_rows of the utterances, where the caller has them already.
     """
     caregivers = [r[0] for r in speaker_roles.where("is_caregiver").select("speaker_code").distinct().collect()]  # a fixed table of roles
     heads = speech.people(transcripts, participants, "n_utterances")
     hot = speech.hot_transcripts(utterances, hot_rows)
-    rows = message_rows(utterances).drop("row_id", "said_text")
+    rows = (message_rows(utterances) if rows is None else rows).drop("row_id", "said_text")
     if hot is None:
         messages = _messages(rows.join(heads.select("key", "names").hint("shuffle_hash"), "key"), caregivers)
     else:
@@ -133,8 +133,9 @@ def conversations(utterances: DataFrame, transcripts: DataFrame, participants: D
 
     One row per place; of copies of a row the one of least row_id. Roles are null where the speaker is not told.
     """
-    whole = transcript_faults(utterances, transcripts, participants, speaker_roles).where("fault is null").select(speech.transcript_key(F.col("transcript_file")).alias("key"))
-    rows = message_rows(utterances).where("utterance_id is not null").join(whole, "key", "left_semi")
+    cleaned = stage(message_rows(utterances))  # lines are cleaned once
+    whole = transcript_faults(utterances, transcripts, participants, speaker_roles, rows=cleaned).where("fault is null").select(speech.transcript_key(F.col("transcript_file")).alias("key"))
+    rows = cleaned.where("utterance_id is not null").join(whole, "key", "left_semi")
     rows = rows.groupBy("key", "utterance_id").agg(F.min(F.struct("row_id", "speaker_code", "label", "said_text")).alias("r")).select("key", "utterance_id", "r.*")
     rows = rows.join(speech.people(transcripts, participants).hint("shuffle_hash"), "key")
     rows = speech.with_speaker(rows).withColumnRenamed("speaker", "speaker_code")

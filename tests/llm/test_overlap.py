@@ -69,4 +69,4 @@ def test_short_records_and_empty_tables(spark):
     assert overlap.overlap_found(sheet(spark, rows)).count() == 0
     assert overlap.overlap_found(sheet(spark, rows).limit(0)).count() == 0
     with pytest.raises(ValueError):
-        overlap.overlap_pairs(sheet(spark, rows), least_words=5)
+        overlap.overlap_pairs(sheet(spark, rows), least_words=4)

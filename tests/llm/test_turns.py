@@ -177,3 +177,17 @@ def test_faults_of_empty_tables(spark, heads):
     u = utterances(spark, [(0, 0, "CHI", "a", None)])
     assert threads.faults_found(u, heads[0].limit(0), heads[1], heads[2]).count() == 0
     assert {r["fault"] for r in threads.faults_found(u, *heads).collect()} == {"empty"}
+
+
+def test_the_model_does_not_depend_on_how_rows_lie(spark):
+    t = [spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("utterances", "transcripts", "participants")]
+    a = turns.fit_boundary_model(t[0].repartition(5, "speech_act"), *t[1:], most_pairs=500)
+    b = turns.fit_boundary_model(t[0].coalesce(1).orderBy(F.desc("row_id")), *t[1:], most_pairs=500)
+    assert a.trees.trees == b.trees.trees and a.trees.trees
+
+
+def test_labels_of_long_words_are_labels(spark):
+    name = "Grandmother-of-the-target-child-from-the-far-north"
+    d = spark.createDataFrame([(f"{name}: hello there",), ("what I told you to say when she comes is this : hello",)], "transcript_raw string")
+    first, second = [r["said_text"] for r in speech.with_said(d).collect()]
+    assert first == "hello there" and second.startswith("what I told you")
