@@ -1,15 +1,19 @@
 """Several values packed in one field: a parsing expression grammar over single cells.
 
-    cell    <- placeholder / (gap value?)*
-    gap     <- (blank / separator / bracket / mark / joiner)*
-    value   <- quoted / known / bare
+    cell    <- placeholder / list
+    list    <- (gap value?)*
+    gap     <- (blank / separator / mark / joiner)*
+    value   <- quoted / bracketed / known / bare
+    bracketed <- open list close                                       # else backtrack: a stray bracket
     quoted  <- open (escape / doubled / !close .)* close &boundary     # else backtrack: a stray mark
     known   <- a usual label, longest first, &boundary
     bare    <- (!(separator / bracket / blank known) .)+
 
 Alternatives are tried in the order written. A quotation mark that is never closed fails
 `quoted`; the parser goes back, drops the mark, reads on with the other alternatives and
-flags the value.
+flags the value. A bracket that is never closed fails `bracketed` and flags the value after
+it, one that closes nothing (or another kind) flags the value before it. Lists in brackets
+may be nested; their values come out in order.
 """
 
 from __future__ import annotations
@@ -26,9 +30,10 @@ SEPARATORS = ",;|/\\+&\n\r\t·•‧∙●▪◦→⇒＞＜，、；｜／＋
 BLANK = "".join(map(chr, [0x20, 0xA0, *range(0x2000, 0x200C), 0x202F, 0x205F, 0x3000, 0xFEFF]))
 
 _gap = re.compile(
-    rf"(?:[\s{BLANK}]|[{re.escape(SEPARATORS)}{re.escape(OPEN + CLOSE)}]"
+    rf"(?:[\s{BLANK}]|[{re.escape(SEPARATORS)}]"
     r"|[-–—―*~]+(?=[\s\u00a0]|$)|--+|=>|->"
-    r"|(?<![\w])\(?(?:\d{1,3}|[A-Za-z]|[ivx]{1,4})[.):](?![\w)]*\()(?=[\s\u00a0]*\S)"
+    # list marks: "1." "2)" "(a)" "iv." and, with a blank after it, "a." "b:"
+    r"|(?<![\w])(?:\(?(?:\d{1,3}|[A-Za-z]|[ivx]{1,4})\)|\d{1,3}\.|(?:\d{1,3}|[A-Za-z]|[ivx]{1,4})[.:](?=[\s\u00a0]))(?![\w)]*\()(?=[\s\u00a0]*\S)"
     r"|(?<![\w])(?i:and|or|plus|und|y|et)(?=[\s\u00a0]))"
 )
 _boundary = re.compile(rf"[\s{BLANK}]*(?:$|[{re.escape(SEPARATORS + OPEN + CLOSE)}.])|[\s{BLANK}]+")
@@ -41,7 +46,7 @@ class Item(NamedTuple):
     label: str
     start: int  # offset in the cell, after entities outside quotations are resolved
     kind: str  # quoted, known, bare
-    malformed: bool  # a quotation mark that was never closed stood before it
+    malformed: bool  # a quotation mark or bracket beside it has no partner
 
 
 class CellGrammar:
@@ -60,10 +65,39 @@ class CellGrammar:
             return []
         text = _entity.sub(lambda m: _entities.get(m[0][1:-1].lower(), "'" if "39" in m[0] or "27" in m[0] else '"'), cell) if "&" in cell else cell
         items, at, stray = [], 0, False
+        last_angle = text.rfind(">")
+        opened: list[tuple[str, int]] = []  # brackets not closed yet, with the number of values before them
         while True:
             at = self._skip(text, at)
             if at >= len(text):
+                for _, k in opened:
+                    if k < len(items):
+                        items[k] = items[k]._replace(malformed=True)
                 return items
+            if text[at] in OPEN and text[at] != "<":
+                opened.append((CLOSE[OPEN.index(text[at])], len(items)))
+                at += 1
+                continue
+            if text[at] in CLOSE:
+                if any(c == text[at] for c, _ in opened):
+                    while opened[-1][0] != text[at]:  # brackets opened inside and never closed
+                        k = opened.pop()[1]
+                        if k < len(items):
+                            items[k] = items[k]._replace(malformed=True)
+                    opened.pop()
+                elif text[at] == ">":
+                    pass  # an arrow between values
+                elif items:
+                    items[-1] = items[-1]._replace(malformed=True)
+                else:
+                    stray = True
+                at += 1
+                continue
+            if text[at] == "<":
+                if at < last_angle:
+                    opened.append((">", len(items)))
+                at += 1
+                continue
             if text[at] in QUOTES:
                 if (q := self._quoted(text, at)) is not None:
                     label, end = q

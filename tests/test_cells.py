@@ -26,6 +26,15 @@ def test_malformed_quotes_are_flagged():
     assert [i.kind for i in G.parse('"verb", object, stutter')] == ["quoted", "known", "bare"]
 
 
+@pytest.mark.parametrize("cell, want", [
+    ("[verb, subject]", [("verb", False), ("subject", False)]), ("[verb, subject", [("verb", True), ("subject", False)]), ("verb], subject", [("verb", True), ("subject", False)]), ("] verb", [("verb", True)]), ("[a [b] c]", [("a", False), ("b", False), ("c", False)]),
+    ("{verb, (object]}", [("verb", False), ("object", True)]), ("[verb]]", [("verb", True)]), ("<verb> <object>", [("verb", False), ("object", False)]), ("verb > object", [("verb", False), ("object", False)]), ('["verb", object', [("verb", True), ("object", False)]),
+    ("a:b", [("a", False), ("b", False)]), ("2:b", [("2", False), ("b", False)]), ("a: verb", [("verb", False)]), ("1.verb 2.object", [("verb", False), ("object", False)]),
+])
+def test_brackets_and_list_marks(cell, want):
+    assert [(i.label, i.malformed) for i in G.parse(cell)] == want
+
+
 @given(st.lists(st.sampled_from(KNOWN), min_size=1, max_size=6), st.sampled_from([", ", ";", " | ", " + ", "\n", "\t", " & ", " > ", " • ", " – "]))
 def test_round_trip(labels, separator):
     assert [i.label for i in G.parse(separator.join(labels))] == labels
