@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.words import words
@@ -123,6 +125,24 @@ def top_words(df: DataFrame, text: str, k: int) -> DataFrame:
     return top_values(df.select(F.explode(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")).alias("word")), "word", k)
 
 
+def with_known_words(words: DataFrame, vocabulary: DataFrame, column: str = "word", dictionary: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
+    """Adds is_word: whether a row's word, in small letters, is one of the vocabulary (a table with a column `word`), or else the dictionary knows it.
+
+    A null word is no word. dictionary: a function of a series of words; it is asked about different
+    words only, and only about those that the vocabulary lacks.
+    """
+    w = F.lower(column)
+    there = vocabulary.select(F.lower("word").alias("_w")).where("_w is not null").distinct().withColumn("_there", F.lit(True))
+    if dictionary:
+        @F.pandas_udf("boolean")
+        def knows(s: pd.Series) -> pd.Series:
+            return dictionary(s)
+
+        asked = words.select(w.alias("_w")).where("_w is not null").distinct().join(there, "_w", "left_anti").withColumn("_there", knows("_w"))
+        there = there.unionByName(asked)
+    return words.join(there, w == F.col("_w"), "left").withColumn("is_word", F.coalesce("_there", F.lit(False))).drop("_w", "_there")
+
+
 def top_ngrams(df: DataFrame, text: str, n: int, k: int) -> DataFrame:
     """The k most frequent runs of n words in small letters (of the word sequence, not of its different words)."""
     d = df.select(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "").alias("_w")).where(F.size("_w") >= n)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import chat, responses as R, words as T
 from ..operators import analytics as A, sampling as S, sequence as W
 from ..operators.ml import fit_ratio_classifier, logistic_curve
-from ..sources.tables import spread, table
+from ..sources.tables import spread, stage, table
 from . import composites as Q, rules_sql as X
 from .registry import CARE, _CUT, _STOP, _list, _words_sql, query
 
@@ -322,3 +322,67 @@ def context_windows(spark, d):
     """Two texts before and after each line, speech-related ones by the full rules."""
     u = annotated(spark, d)
     return W.with_following(W.with_previous(u, 2), 2).select("row_id", "prev_transcript_clean_2", "following_transcript_clean_2")
+
+
+@query(_contingencies_sql("ok", "ok", "t.sr IS NOT NULL AND t.ok IS NOT NULL AND f.ok IS NOT NULL", NORMAL_TAIL))
+def stored_contingencies(spark, d):
+    """timing_contingencies of a stored table of triples, written once and read again."""
+    stored = stage(Q.timing_conversations(W.micro_conversations(annotated(spark, d), timing=True)).select("transcript_file", "has_response", "utt_is_intelligible", "follow_up_is_intelligible"))
+    return _rounded(Q.timing_contingencies(stored))
+
+
+@query(f"{GRAMMATICALITY} SELECT round(rep_utt, 6) AS rep_utt, round(rep_response, 6) AS rep_response, keyword_ack, count(*) AS n FROM turns_ GROUP BY 1, 2, 3")
+def ratio_counts(spark, d):
+    """How many turns have so large repeated shares, by whether keywords acknowledge them."""
+    t = judged_turns(spark, d).withColumns({"rep_utt": F.round("rep_utt", 6), "rep_response": F.round("rep_response", 6), "keyword_ack": F.col("response_is_keyword_acknowledgement")})
+    return t.groupBy("rep_utt", "rep_response", "keyword_ack").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- Predicates of lines and words ----------------------------------------------------
+_NO_PUNCTUATION = "trim(regexp_replace(replace(replace(translate({c}, '\"„”', ''), '''''', ''), '  ', ' '), '[.!?]+\\s*$', ''))"
+_BODY = X.text("|".join(chat.BODY_SOUNDS))
+
+
+@query(f"""WITH v AS (SELECT row_id, transcript_raw AS raw, regexp_extract(transcript_raw, '\\[=! [^\\]]*\\]') AS e FROM utterances WHERE transcript_raw IS NOT NULL),
+k AS (SELECT *, NOT ({X._like_speech("e")} OR regexp_matches(e, {_BODY}) OR (contains(e, 'mak') AND contains(e, 'noise'))) AS is_external FROM v)
+SELECT row_id, {_NO_PUNCTUATION.format(c="raw")} AS bare, {_NO_PUNCTUATION.format(c="raw")} = '' AS is_empty, {X._understood("e")} AS event_is_intelligible, is_external AS event_is_external,
+  e <> '' AND is_external AND {_NO_PUNCTUATION.format(c="replace(raw, e, '')")} = '' AS is_external_event, len(regexp_extract_all(raw, '\\[=! [^\\]]*\\]')) > 1 AS has_multiple_events FROM k""")
+def line_predicates(spark, d):
+    """What the predicates of lines and events tell of every raw line."""
+    c = F.col("transcript_raw")
+    event = chat.first_event(c)
+    return table(spark, d, "utterances").where(c.isNotNull()).select(
+        "row_id", T.remove_punctuation(c).alias("bare"), T.is_empty(c).alias("is_empty"), chat.event_is_intelligible(event).alias("event_is_intelligible"), chat.event_is_external(event).alias("event_is_external"),
+        chat.is_external_event(c).alias("is_external_event"), chat.has_multiple_events(c).alias("has_multiple_events"))
+
+
+_W = "replace(w, ',', '')"
+_W_EXCLUDED = X._EXCLUDED.replace(X._BARE, _W)
+_W_BABBLE = f"CASE WHEN starts_with({_W}, '&=') THEN NOT {X._understood(_W)} ELSE starts_with({_W}, '&') OR regexp_matches({_W}, '@[biup]$') OR contains({_W}, 'xxx') OR {_W} = 'yyy' OR lower({_W}) IN {X.texts(chat.BABBLE)} END"
+
+
+@query(f"""WITH v AS (SELECT DISTINCT unnest(regexp_split_to_array(transcript_raw, '[ \\t\\n\\r\\f\\x0b]+')) AS w FROM utterances)
+SELECT w AS word, {_W_EXCLUDED} AS is_excluded, {_W} IN {X.texts(chat.LAUGHTER)} AS is_laughter, {_W_BABBLE} AS is_babble,
+  CASE WHEN starts_with(w, '&=') THEN {X._like_speech("w")} ELSE {_W} NOT IN {X.texts(chat.LAUGHTER)} AND lower(w) NOT IN {X.texts(chat.NONSPEECH)} END AS is_speech_related,
+  NOT (starts_with({_W}, '&=') OR {_W} IN {X.texts(chat.LAUGHTER)} OR lower({_W}) IN {X.texts(chat.NONSPEECH)} OR {_W_EXCLUDED} OR ({_W_BABBLE}) OR regexp_matches({_W}, '@[up]$')) AS is_parseable FROM v WHERE w <> ''""")
+def word_predicates(spark, d):
+    """What the predicates of words tell of every different word of the raw lines."""
+    w = F.col("word")
+    words = table(spark, d, "utterances").select(F.explode(F.split("transcript_raw", r"\s+")).alias("word")).where("word != ''").distinct()
+    return words.select(w, chat.is_excluded_word(w).alias("is_excluded"), chat.word_is_laughter(w).alias("is_laughter"), chat.word_is_babble(w).alias("is_babble"), chat.word_is_speech_related(w).alias("is_speech_related"), chat.word_is_parseable(w).alias("is_parseable"))
+
+
+@query(f"WITH {LINES}, p AS (SELECT {_words_sql('transcript_clean', '')} AS ws FROM clean), q AS (SELECT unnest(list_transform(range(1, len(ws)), lambda i: struct_pack(a := ws[i], b := ws[i + 1]))) AS x FROM p WHERE len(ws) > 1) SELECT x.a AS first, x.b AS second, count(*) AS n FROM q GROUP BY 1, 2")
+def word_pairs(spark, d):
+    """How often two words stand side by side in clean lines."""
+    pairs = loaded(spark, d).select(F.explode(T.word_pairs(T.words(F.col("transcript_clean"), False))).alias("p"))
+    return pairs.groupBy(F.col("p.first").alias("first"), F.col("p.second").alias("second")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {LINES}, v AS (SELECT u.speaker_code, lower(unnest({_words_sql(_CUT.format('transcript_clean'), '|,')})) AS w FROM clean c JOIN utterances u ON u.row_id = c.row_id)
+SELECT count(*) AS n, count(*) FILTER (WHERE w IN (SELECT w FROM v WHERE speaker_code IN ({CARE}))) AS n_known FROM v WHERE speaker_code = 'CHI'""")
+def childrens_words_known(spark, d):
+    """How many of the children's words the caregivers use."""
+    w = loaded(spark, d).select("speaker_code", F.explode(T.words(F.col("transcript_clean"), False, True, True)).alias("word"))
+    k = A.with_known_words(w.where("speaker_code = 'CHI'"), w.where(F.col("speaker_code").isin(chat.CAREGIVERS)))
+    return k.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_word").alias("n_known"))

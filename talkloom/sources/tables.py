@@ -19,16 +19,21 @@ def spread(df: DataFrame) -> DataFrame:
     For costly expressions over small files, whose few row groups would keep most cores
     idle. A df that is shuffled already is left to adaptive execution.
     """
-    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
-    if "Exchange" in plan.executedPlan().toString():
+    cores, run = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    plan = run.executedPlan()
+    shuffled = plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" or plan.outputPartitioning().getClass().getSimpleName() not in ("UnknownPartitioning", "SinglePartition$")
+    if shuffled:
         return df
-    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if run.toRdd().getNumPartitions() < cores else df
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset and all run on one machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         folder = "file://" + tempfile.mkdtemp(prefix="talkloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -42,7 +47,7 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/talkloom-{uuid.uuid4().hex}"
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._talkloom_path = path

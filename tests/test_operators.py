@@ -64,6 +64,15 @@ def test_triples_equal_a_loop(spark, seed, timing):
     assert sorted(map(tuple, d.select("index", "answered", "response_transcript_clean", "follow_up_transcript_clean").collect())) == want
 
 
+@pytest.mark.parametrize("timing", [False, True])
+def test_triples_in_blocks_are_the_same(spark, timing):
+    """Blocks of three row_ids, so that next rows, later children and later others lie in other blocks, several blocks on too; with null speakers and transcripts."""
+    rows = [(k, None if f == "c" else f, None if k % 11 == 0 else s, t, a, b, ok) for k, f, s, t, a, b, ok in random_turns(9) + [(k + 1000, "z", s, f"z{k}", 9000 * k, 9000 * k + 5, True) for k, s in enumerate(["CHI", "MOT", "MOT", "INV", "INV", "INV", "INV", "INV", "CHI", "CHI", "CHI", "CHI", "CHI", "CHI", "CHI", "CHI", "FAT"])]]
+    d = turns(spark, rows).repartition(3)
+    plain, blocks = (W.micro_conversations(d, timing, block_ids=b) for b in (None, 3))
+    assert plain.columns == blocks.columns and sorted(map(str, plain.collect())) == sorted(map(str, blocks.collect())) and plain.count() > 10
+
+
 def test_triples_use_one_shuffle(spark):
     plan = W.micro_conversations(turns(spark, random_turns(1)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
@@ -97,6 +106,10 @@ def test_cut_and_dense_ids(spark):
     assert [r["row_id"] for r in W.cut_at_nth_child(turns(spark, rows), 2).orderBy("row_id").collect()] == [0, 1, 2, 3]
     d = spark.createDataFrame([("b", 0), ("a", 1), ("a", 0), (None, 0)], "transcript_file string, utterance_id int")
     assert sorted((r["row_id"], r["transcript_file"]) for r in W.with_dense_id(d, start=5).collect()) == [(5, None), (6, "a"), (7, "a"), (8, "b")]
+    many = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('f', id % 50) END AS transcript_file", "CAST(id % 997 AS int) AS utterance_id", "id")
+    got = W.with_dense_id(many.repartition(7)).orderBy("row_id").collect()
+    assert [r["row_id"] for r in got] == list(range(3000)) and [(r["transcript_file"], r["utterance_id"]) for r in got] == sorted((r["transcript_file"], r["utterance_id"]) for r in got)
+    assert W.with_dense_id(many.limit(0)).count() == 0
 
 
 def test_filters_keep_nulls_as_stated(spark):
@@ -211,3 +224,12 @@ def test_scoring_hook(spark):
     got = ml.score_with(d, "m", lambda prev, cur: ["bad" not in c for c in cur])
     assert [r["is_grammatical_m"] for r in got.collect()] == [True, None, None, False]
     assert ml.score_with(got, "m", lambda p, c: []) is got
+
+
+def test_known_words(spark):
+    words = spark.createDataFrame([("Ball", 1), ("flarp", 2), (None, 3), ("doggie", 4), ("ball", 5)], "word string, n int")
+    known = spark.createDataFrame([("ball",), ("BALL",), (None,)], "word string")
+    flags = lambda d: {r["n"]: r["is_word"] for r in d.collect()}
+    assert flags(A.with_known_words(words, known)) == {1: True, 2: False, 3: False, 4: False, 5: True}
+    assert flags(A.with_known_words(words, known, dictionary=lambda s: s.str.startswith("dog"))) == {1: True, 2: False, 3: False, 4: True, 5: True}
+    assert A.with_known_words(words.limit(0), known).count() == 0

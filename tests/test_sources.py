@@ -1,3 +1,4 @@
+import pytest
 import os
 
 from pyspark.sql import functions as F
@@ -90,3 +91,15 @@ def test_csv_comes_back(spark, tmp_path):
     d = spark.createDataFrame([(1, 'a "b", c\nd', ["x", "y"]), (2, None, None)], "id long, t string, ws array<string>")
     src.write_csv(d, str(tmp_path / "c"))
     assert sorted(map(tuple, src.read_table_csv(spark, str(tmp_path / "c"), "id long, t string, ws array<string>").collect())) == [(1, 'a "b", c\nd', ["x", "y"]), (2, None, None)]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda k, d: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        tables.shared_folder(Session)
