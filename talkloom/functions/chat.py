@@ -158,9 +158,13 @@ def clean_steps(stripped: str, out: str) -> list[tuple[str, Column]]:
     ]
 
 
-def with_clean_line(df: DataFrame, raw: str = "transcript_raw", out: str = "transcript_clean") -> DataFrame:
-    """Adds the clean text of raw lines; null for null."""
-    return steps(df, strip_steps(F.col(raw), "__stripped") + clean_steps("__stripped", out))
+STRIPPED = "_stripped"
+
+
+def with_clean_line(df: DataFrame, raw: str = "transcript_raw", out: str = "transcript_clean", keep_stripped: bool = False) -> DataFrame:
+    """Adds the clean text of raw lines; null for null. keep_stripped: the line without codes stays as column STRIPPED, for with_labels."""
+    name = STRIPPED if keep_stripped else "__stripped"
+    return steps(df, strip_steps(F.col(raw), name) + clean_steps(name, out))
 
 
 def label_steps(stripped: str, partial_speech: bool | None = True, unintelligible: bool | None = None, partial_intelligible: bool | None = False, empty: bool | None = False, vocabulary: list[str] | None = None) -> list[tuple[str, Column]]:
@@ -194,6 +198,7 @@ def label_steps(stripped: str, partial_speech: bool | None = True, unintelligibl
 
 
 def with_labels(df: DataFrame, raw: str = "transcript_raw", **how) -> DataFrame:
-    """Adds is_speech_related and is_intelligible of raw lines (see label_steps); null for null."""
-    df = steps(df, strip_steps(F.col(raw), "_stripped"))  # on its own, as longer methods are not compiled to machine code
-    return steps(df, label_steps("_stripped", **how)).drop("_stripped")
+    """Adds is_speech_related and is_intelligible of raw lines (see label_steps); null for null. A column STRIPPED of with_clean_line is used up."""
+    if STRIPPED not in df.columns:
+        df = steps(df, strip_steps(F.col(raw), STRIPPED))  # on its own, as longer methods are not compiled to machine code
+    return steps(df, label_steps(STRIPPED, **how)).drop(STRIPPED)

@@ -52,15 +52,15 @@ JUDGED_TURNS = f"""turns_ AS (SELECT *, {_BINNED.format(least=10, most=60)} AS a
 GRAMMATICALITY = f"WITH {ROWS}, {triples_sql(False)}, {FLAGGED}, {JUDGED_TURNS}"
 
 
-def loaded(spark, d) -> DataFrame:
-    """Every raw line as loaded, without time marks, with its clean text."""
+def loaded(spark, d, keep_stripped: bool = False) -> DataFrame:
+    """Every raw line as loaded, without time marks, with its clean text (and, if asked for, its text without codes)."""
     u = table(spark, d, "utterances").withColumn("transcript_raw", chat.without_timing(F.col("transcript_raw")))
-    return chat.with_clean_line(spread(u))
+    return chat.with_clean_line(spread(u), keep_stripped=keep_stripped)
 
 
 def annotated(spark, d) -> DataFrame:
     """Every raw line with labels; null lines are left out."""
-    return Q.annotate(loaded(spark, d))
+    return Q.annotate(loaded(spark, d, keep_stripped=True))
 
 
 def judged(spark, d) -> DataFrame:
